@@ -173,7 +173,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = "byte_bpe_50k.j
                 at += sizes[i]
         return frame.assign(sequence_id=seq, offset=off)[_PACKED.names]
 
-    dealt = short.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))  # by row: copies of a row spread as well)
+    dealt = short.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # by row, so that copies spread
     packed = dealt.groupBy("group_").applyInPandas(one, _PACKED)
     full = cut.where(F.col("length") == length).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
     return full.unionByName(packed)
