@@ -1,8 +1,10 @@
 """WARC archives: a writer in plain DataFrame operations and a salvage reader.
 
-Writing: a record is one string that ends in the two empty lines that WARC asks for, which serve as the
-text sink's line separator; Spark's committer then writes valid archives to any store. Of records with
-equal payloads the one with the smallest id is a response, the others revisit it.
+Writing: records are built by DataFrame functions and written by Spark's text sink, whose committer gives
+whole archives in any store. Plain archives have the two empty lines after a record as the sink's line
+separator; compressed ones have a gzip member per record and an empty member as separator, so that damage
+costs one record. Of records with equal payloads the one with the smallest id is a response, the others
+revisit it.
 
 Reading: archives (plain, or gzip members of any size) are walked record by record. A record counts if
 its version line, headers, Content-Length and closing lines are right and its payload has the digest it
@@ -34,6 +36,7 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
@@ -80,17 +83,26 @@ def records(pages: DataFrame, payload: str = "html", key: str = "page_id", url:
     )
 
 
-def write(pages: DataFrame, path: str, compression: str = "none", **columns) -> None:
-    """Write archives below path; with compression="gzip" each file is one gzip member."""
-    records(pages, **columns).write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", 50_000).text(path)
-
-
 def gzip_member(record: bytes) -> bytes:
-    """A record as a gzip member of its own, as crawlers write them."""
+    """A record as a gzip member of its own."""
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(record + END) + c.flush()
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([gzip_member(x.encode()) for x in rows[0].to_pylist()], pa.binary())], names=["value"])
+
+
+def write(pages: DataFrame, path: str, compress: bool = True, **columns) -> None:
+    """Write archives below path, plain or with a gzip member per record."""
+    rows = records(pages, **columns)
+    if compress:  # the sink writes a string's bytes as they are
+        rows = map_rows(rows, _members, T.StructType([T.StructField("value", T.BinaryType())])).select(F.col("value").cast("string"))
+    separator = EMPTY_MEMBER if compress else END
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", 50_000).text(path)
+
+
 # Reader
 
 
@@ -162,17 +174,31 @@ def _plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
             at = got[1]
 
 
+def _member(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, the place after it, and what is wrong with it."""
+    d, out = zlib.decompressobj(31), []
+    for i in range(at, len(data), step):  # in steps: what follows the member is copied by zlib
+        try:
+            out.append(d.decompress(data[i : i + step]))
+        except zlib.error as e:
+            return b"", at, f"gzip: {e}"
+        if d.eof:
+            return b"".join(out), min(i + step, len(data)) - len(d.unused_data), ""
+    return b"", at, "gzip member is cut short"
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive in order; offsets are into data, within a gzip member that of the member."""
     at, bad, reason = 0, None, ""
     while at < len(data):
         if data[at : at + 3] == GZIP:
-            d = zlib.decompressobj(31)
-            try:
-                inner = d.decompress(data[at:])
-                problem = "" if d.eof else "gzip member is cut short"
-            except zlib.error as e:
-                inner, problem = b"", f"gzip: {e}"
+            inner, after, problem = _member(data, at)
+            if not problem and not inner:  # the separator
+                if bad is not None:
+                    yield Gap(bad, at, reason)
+                    bad = None
+                at = after
+                continue
             if problem or not _VERSION.match(inner):
                 bad, reason = (at, problem or "member without a record") if bad is None else (bad, reason)
                 at = data.find(GZIP, at + 1)
@@ -181,7 +207,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             if bad is not None:
                 yield Gap(bad, at, reason)
                 bad = None
-            size = len(data) - at - len(d.unused_data)
+            size = after - at
             for x in _plain(inner):
                 if isinstance(x, Gap):
                     yield Gap(at, at + size, x.reason)
