@@ -2,17 +2,20 @@
 
 One hash function over 5-word shingles; a document's sketch is the K smallest hashes of its set.
 Documents with equal sets form a class first, so copies cost nothing more. Two sets of Jaccard
-similarity >= 0.75 share, among the K smallest hashes of their union, a Binomial(K, 0.75) number of
-values: with K = 48 fewer than 20 with probability 2e-8. A pair must share that many (for a set that
-fits its sketch the exact bound ceil(0.75 n)); this is the union-sketch estimate with a margin of over
-five deviations. It allows prefix filtering: of n retained values only the n - 19 rarest go to the
-inverted lists, because the rarest value that a pair shares is among them on both sides. So a passage
-that many documents share makes long lists only for documents that consist of it.
-
-Lists are worked off without expanding them into pairs: twice each list is compared with one of its
-members (a star), links are confirmed on full shingle sets and contracted to components; lists that
-still hold several components are then compared block by block in numpy, giving out only pairs between
-components that pass the estimate. So no link is lost but for the 2e-8 above.
+similarity >= 0.75 share, among the k smallest hashes of their union, a Binomial(k, 0.75) number of
+values: for k = 48 fewer than 20, and for k = 256 fewer than 154, each with probability 2e-8. The
+first is used for candidates: of a document's 48 smallest values only the 29 rarest go to the inverted
+lists, because the rarest of 20 shared values is among them on both sides. So a passage that many
+documents share makes long lists only for documents that consist of it. The second is the union-sketch
+estimate that filters pairs; if both sets fit their sketches it is exact.
+
+Lists are worked off without expanding them into pairs. First each list is compared with two of its
+members (stars: the smallest id, and the member whose values are the most common, which is the text that
+others were copied from if that is there); links are confirmed on full shingle sets and contracted to
+components. Lists whose other members still lie in several components are compared block by block in
+numpy: first each member names its best partner outside its component, and after those links are
+confirmed and contracted, all pairs between components that pass the estimate are given out. So no link
+is lost but for the probabilities above, and a group of m near copies makes no m * m rows.
 
 Defined cases: null text or text without words has an empty set, is linked with nothing and is its own
 component; fewer than five words make one shingle; rows that share a doc_id are one document; a null
@@ -37,11 +40,12 @@ from ._graph import components
 
 WORDS = 5
 PERCENT = 75
-K = 48
-NEED = 20
+K, NEED = 256, 154
+K_LIST, NEED_LIST = 48, 20
 #: Members of a list compared with each other in one go.
-BLOCK = 256
-STARS = 2
+BLOCK = 1024
+#: Rows of blocks handled by one call.
+BUCKET = 4096
 
 _SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _SET = T.StructType([T.StructField("doc", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
@@ -74,7 +78,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["doc_id"].append(doc_id)
             out["n"].append(len(s))
             out["set_id"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            out["sketch"].append(s[:K])
+            out["sketch"].append(s[:K_LIST])
         yield batch(out, _SKETCH)
 
 
@@ -83,51 +87,95 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"doc": rows[0].to_pylist(), "shingles": [shingle_set(t) for t in rows[1].to_pylist()]}, _SET)
 
 
-def _need(n, k: int = K, need: int = NEED) -> F.Column:
-    """Values a set of n shingles must share with a similar one, among its sketch."""
+def _need(n, k: int, need: int) -> F.Column:
+    """Values a set of n shingles must share with a similar one, among its k smallest."""
     return F.when(n <= k, F.least(F.lit(need), F.ceil(n * PERCENT / 100))).otherwise(F.lit(need)).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+def _wide(sets: DataFrame) -> DataFrame:
+    return sets.select("doc", F.size("shingles").cast("long").alias("n"), F.slice("shingles", 1, K).alias("sketch"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that pass the sketch estimate and then the exact test."""
-    narrow = sketches.select("doc", "n", "sketch")
+    narrow = _wide(sets)
     p = pairs.join(narrow.toDF("a", "na", "ka"), "a").join(narrow.toDF("b", "nb", "kb"), "b")
-    lower, upper = F.least("na", "nb"), F.greatest("na", "nb")
-    p = p.where((lower * 100 >= upper * PERCENT) & (F.size(F.array_intersect("ka", "kb")) >= F.greatest(_need(F.col("na")), _need(F.col("nb")))))
+    union = F.slice(F.sort_array(F.array_union("ka", "kb")), 1, K)
+    p = p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
+    p = p.withColumn("u", union).withColumn("s", F.size(F.array_intersect("u", F.array_intersect("ka", "kb"))))
+    p = p.where(F.when(F.size("u") < K, F.col("s") * 100 >= F.size("u") * PERCENT).otherwise(F.col("s") >= NEED))
     p = stash(p.select("a", "b", "na", "nb"), "near-estimated")
     p = p.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return p.where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b")
 
 
-def _block_pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a list that cross components and pass the estimate."""
-    sk = [np.asarray(s) for s in frame["sketch"]]
-    values, code = np.unique(np.concatenate(sk), return_inverse=True)
-    hit = np.zeros((len(sk), len(values)), np.float32)
-    hit[np.repeat(np.arange(len(sk)), [len(s) for s in sk]), code] = 1
-    n, need, comp, side, doc = (frame[c].to_numpy() for c in ("n", "need", "comp", "side", "doc"))
-    i, j = side == 0, side == 1
-    if not j.any():  # a block against itself
-        i = j = np.ones(len(sk), bool)
-    a, b = np.flatnonzero(i), np.flatnonzero(j)
-    share = hit[a] @ hit[b].T
-    ok = (share >= np.maximum.outer(need[a], need[b])) & (comp[a][:, None] != comp[b][None, :])
-    ok &= np.minimum.outer(n[a], n[b]) * 100 >= np.maximum.outer(n[a], n[b]) * PERCENT
-    x, y = np.nonzero(ok & (doc[a][:, None] != doc[b][None, :]))
-    da, db = doc[a[x]], doc[b[y]]
-    return pd.DataFrame({"a": np.minimum(da, db), "b": np.maximum(da, db)}).drop_duplicates()
+def _overlap(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values lists a and lists b share, as a matrix."""
+    flat = np.concatenate(lists)
+    values, code, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(seen > 1) - 1  # a value of one list alone is shared by no pair
+    row, keep = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), seen[code] > 1
+    hit = np.zeros((len(lists), int((seen > 1).sum())), np.float32)
+    hit[row[keep], column[code[keep]]] = 1
+    return hit[a] @ hit[b].T
 
 
-def _list_blocks(open_lists: DataFrame, sketches: DataFrame) -> DataFrame:
+def _block(value: int, n, comp, doc, side, sketch: list[np.ndarray], keys: list[np.ndarray], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a block that cross components and pass the estimate: all, or each member's best."""
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(b):  # a block against itself
+        b = a
+    ok = comp[a][:, None] != comp[b][None, :]
+    ok &= np.minimum.outer(n[a], n[b]) * 100 >= np.maximum.outer(n[a], n[b]) * PERCENT
+    if not ok.any():
+        return doc[:0], doc[:0]
+    share = _overlap(sketch, a, b)
+    need = np.minimum(NEED, -(-n * PERCENT // 100))
+    exact = share * 100 >= (np.add.outer(n[a], n[b]) - share) * PERCENT
+    ok &= np.where((n[a] <= K)[:, None] & (n[b] <= K)[None, :], exact, share >= np.maximum.outer(need[a], need[b]))
+    if not ok.any():
+        return doc[:0], doc[:0]
+    if best:
+        share = np.where(ok, share / np.add.outer(n[a], n[b]), -1)
+        x, y = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        x, y = np.append(x, share[:, y].argmax(axis=0)), np.append(share[x].argmax(axis=1), y)
+    else:
+        ok &= _overlap([k[k < value] for k in keys], a, b) == 0  # the pair's first list alone gives it out
+        x, y = np.nonzero(ok)
+    return doc[a[x]], doc[b[y]]
+
+
+def _blocks(best: bool):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["value", "x", "y"], ignore_index=True)
+        sketch, keys = ([np.asarray(s) for s in frame[c]] for c in ("sketch", "keys"))
+        value, x, y, n, comp, side, doc = (frame[c].to_numpy() for c in ("value", "x", "y", "n", "comp", "side", "doc"))
+        cut = np.flatnonzero((value[1:] != value[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        left, right = [doc[:0]], [doc[:0]]
+        for i, j in zip(np.append(0, cut).tolist(), np.append(cut, len(doc)).tolist(), strict=True):
+            if j - i > 1:
+                p, q = _block(value[i], n[i:j], comp[i:j], doc[i:j], side[i:j], sketch[i:j], keys[i:j], best)
+                left.append(p)
+                right.append(q)
+        p, q = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}).drop_duplicates()
+
+    return run
+
+
+def _list_blocks(open_lists: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of the members of lists (value, doc, comp), compared in blocks of about BLOCK members."""
     size = stash(open_lists.groupBy("value").agg(F.count("*").alias("m")), "near-list-size")
+    keys = open_lists.groupBy("doc").agg(F.collect_list("value").alias("keys"))
+    members = stash(_wide(sets).join(keys, "doc"), "near-members")
     p = open_lists.join(size, "value").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     p = p.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     p = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    p = p.select("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp")
-    p = p.join(sketches.select("doc", "n", "need", "sketch"), "doc")
-    return p.groupBy("value", "x", "y").applyInPandas(_block_pairs, _PAIR).distinct()
+    p = stash(p.select("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc", "comp"), "near-blocks")
+    buckets = max(1, p.count() // BUCKET)
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("value", "x", "y"), F.lit(buckets)))
+    return p.join(members, "doc").groupBy("bucket").applyInPandas(_blocks(best), _PAIR).distinct()
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -137,7 +185,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     all_rows = stash(map_rows(text, _sketches, _SKETCH), "near-sketches")
     classes = stash(all_rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc")), "near-classes")
     one = all_rows.where("n > 0").join(classes, "set_id").where("doc_id = doc").dropDuplicates(["set_id"])
-    one = stash(one.select("doc", "n", "sketch", _need(F.col("n")).alias("need")), "near-class-sketches")
+    one = stash(one.select("doc", "n", "sketch", _need(F.col("n"), K_LIST, NEED_LIST).alias("need")), "near-class-sketches")
 
     # Inverted lists: values held by one class go; a class left with too few values has no partner.
     values = one.select("doc", "need", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
@@ -145,35 +193,31 @@ def cluster(docs: DataFrame) -> DataFrame:
     shared = values.join(common, "value").groupBy("doc", "need", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     # Of the held values in order of rarity the first held - need + 1 go to lists; those of df 1 come first.
     room = F.col("held") - F.col("need") + 1 - (F.col("held") - F.size("shared"))
-    lists = shared.where((F.size("shared") >= F.col("need")) & (room > 0)).select("doc", F.explode(F.slice("shared", F.lit(1), room)).alias("v"))
-    lists = stash(lists.select(F.col("v.value").alias("value"), "doc"), "near-lists")
+    weight = F.aggregate("shared", F.lit(0.0), lambda t, v: t + F.log2(v["df"].cast("double")))
+    lists = shared.where((F.size("shared") >= F.col("need")) & (room > 0)).select("doc", weight.alias("weight"), F.explode(F.slice("shared", F.lit(1), room)).alias("v"))
+    lists = stash(lists.select(F.col("v.value").alias("value"), "doc", "weight"), "near-lists")
 
-    sets = sketches = None
     label = None
-    for turn in range(STARS + 1):
-        if label is None:
-            open_lists = lists.withColumn("comp", F.col("doc"))
-        else:
-            open_lists = lists.join(label.toDF("doc", "comp_"), "doc", "left").select("value", "doc", F.coalesce("comp_", "doc").alias("comp"))
-        ends = open_lists.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc")).alias("c"))
-        ends = stash(ends.where("lo <> hi").select("value", F.col("c.doc").alias("centre")), "near-open")
-        open_lists = stash(open_lists.join(ends, "value"), "near-open-lists")
-        if open_lists.isEmpty():
-            break
-        if sets is None:
-            ids = stash(open_lists.select("doc").distinct(), "near-candidates")
-            few = ids.count() <= BROADCAST_ROWS
-            need_sets = text.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("doc"), "left_semi")
-            sets = stash(map_rows(need_sets, _sets, _SET).dropDuplicates(["doc"]), "near-sets")
-            sketches = stash(one.join(F.broadcast(ids) if few else ids, "doc", "left_semi"), "near-candidate-sketches")
-        if turn < STARS:
-            pairs = open_lists.where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
-        else:
-            pairs = _list_blocks(open_lists.select("value", "doc", "comp"), sketches)
-        edges = _verified(pairs, sets, sketches)
-        if label is not None:
-            edges = edges.unionByName(label.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        label = components(edges)
+    if not lists.isEmpty():
+        ids = stash(lists.select("doc").distinct(), "near-candidates")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        sets = stash(map_rows(text.join(ids, F.col("doc_id") == F.col("doc"), "left_semi"), _sets, _SET).dropDuplicates(["doc"]), "near-sets")
+
+        centres = lists.groupBy("value").agg(F.min("doc").alias("c1"), F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("c2"), F.count("*").alias("m"))
+        centres = stash(centres.where("m > 1").select("value", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre")), "near-centres")
+        stars = lists.join(centres, "value").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+        label = components(_verified(stars, sets))
+
+        rest = lists.select("value", "doc").join(centres.withColumnRenamed("centre", "doc"), ["value", "doc"], "left_anti")  # all pairs with a centre are done
+        for best in (True, False):
+            labelled = stash(rest.join(label.toDF("doc", "comp"), "doc", "left").select("value", "doc", F.coalesce("comp", "doc").alias("comp")), "near-labelled")
+            several = stash(labelled.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value"), "near-open")
+            rest = stash(labelled.join(several, "value", "left_semi"), "near-open-lists")
+            if rest.isEmpty():
+                break
+            more = _verified(_list_blocks(rest, sets, best), sets)
+            label = components(more.unionByName(label.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+            rest = rest.select("value", "doc")
     per_class = classes if label is None else classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("set_id", F.coalesce("comp", "doc").alias("doc"))
     per_class = stash(per_class.select("set_id", F.col("doc").alias("comp")), "near-class-components")
     found = all_rows.select("doc_id", "n", "set_id").join(per_class, "set_id", "left")
