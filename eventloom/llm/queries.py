@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, neardup, packing, quality, warc
+from . import htmltext, linededup, lmscore, media, mixing, neardup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_host_rules": quality.op2_host_rules,
+    "op3_log_bilinear": lmscore.op3_log_bilinear,
     "op4_iso_media": media.op4_iso_media,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_compression_toxicity": toxicity.op6_compression_toxicity,
+    "op7_html_lstm": htmltext.op7_html_lstm,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
