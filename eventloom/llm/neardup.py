@@ -43,7 +43,7 @@ PERCENT = 75
 K, NEED = 256, 154
 K_LIST, NEED_LIST = 48, 20
 #: Members of a list compared with each other in one go.
-BLOCK = 1024
+BLOCK = 2048
 #: Rows of blocks handled by one call.
 BUCKET = 4096
 
@@ -164,6 +164,13 @@ def _blocks(best: bool):
     return run
 
 
+def _largest_lists(open_lists: DataFrame) -> DataFrame:
+    """The lists that are the largest of one of their members: enough to name a best partner."""
+    size = stash(open_lists.groupBy("value").agg(F.count("*").alias("m")), "near-list-size")
+    named = open_lists.join(size, "value").groupBy("doc").agg(F.max_by("value", F.struct("m", "value")).alias("value"))
+    return stash(open_lists.join(stash(named.select("value").distinct(), "near-largest"), "value", "left_semi"), "near-largest-lists")
+
+
 def _list_blocks(open_lists: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of the members of lists (value, doc, comp), compared in blocks of about BLOCK members."""
     size = stash(open_lists.groupBy("value").agg(F.count("*").alias("m")), "near-list-size")
@@ -215,7 +222,8 @@ def cluster(docs: DataFrame) -> DataFrame:
             rest = stash(labelled.join(several, "value", "left_semi"), "near-open-lists")
             if rest.isEmpty():
                 break
-            more = _verified(_list_blocks(rest, sets, best), sets)
+            lists_now = _largest_lists(rest) if best else rest
+            more = _verified(_list_blocks(lists_now, sets, best), sets)
             label = components(more.unionByName(label.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
             rest = rest.select("value", "doc")
     per_class = classes if label is None else classes.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("set_id", F.coalesce("comp", "doc").alias("doc"))
