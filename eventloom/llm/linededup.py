@@ -8,7 +8,8 @@ its (key, document) pair is in the batch's own new run, so that join is on key a
 common line makes a hot partition.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document; a null
-doc_id counts as one document after all others; empty tables give empty results; extra columns pass.
+doc_id counts as one document after all others; empty tables give empty results; extra columns pass,
+but columns named line_n, line_dropped, _doc or _gone are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -133,6 +134,7 @@ def _rewritten(schema: T.StructType):
 def dedup_lines(docs: DataFrame, n_batches: int = N_BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """docs with ``text`` less its repeated lines, and line_n (lines before) and line_dropped."""
     spark = docs.sparkSession
+    docs = docs.drop("line_n", "line_dropped", "_doc", "_gone")
     lines = stash(hash_lines(docs), "line-keys")
     low, high = lines.where(F.col("doc") < _LAST).agg(F.min("doc"), F.max("doc")).first()
     low, high = low or 0, high or 0

@@ -5,7 +5,7 @@ emitted floor(rate) times plus one hash-seeded Bernoulli copy with probability e
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; a null
 doc_id draws as an empty id; rows that share a doc_id share their draw; an empty table gives no rows;
-extra columns pass through ``mix`` untouched (its own columns are prefixed ``mix_``).
+extra columns of any name pass through ``mix`` untouched, as it carries each row as one struct.
 """
 
 from __future__ import annotations
@@ -56,11 +56,11 @@ def draw(doc_id, seed: str = SEED) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix_plan(docs: DataFrame, seed: str = SEED, share: float = 1.5, weights: Sequence[float] = (5, 2, 1), max_rate: float = 2.0, columns: Sequence[str] = ()) -> DataFrame:
-    """docs' columns ``columns`` with mix_source, mix_size, source_size, target, rate and copies."""
-    sized = docs.select(*columns, F.col("source").alias("mix_source"), n_words(F.col("text")).alias("mix_size"), draw(F.col("doc_id"), seed).alias("mix_draw"))
-    narrow = {"doc_id"} >= set(columns)
-    if narrow:  # a few bytes a row: write them once instead of counting words twice
+def mix_plan(docs: DataFrame, whole_rows: bool = False, seed: str = SEED, share: float = 1.5, weights: Sequence[float] = (5, 2, 1), max_rate: float = 2.0) -> DataFrame:
+    """Per row of docs: mix_row (the row, or its doc_id alone), mix_source, mix_size, source_size, target, rate and copies."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole_rows else F.col("doc_id")
+    sized = docs.select(row.alias("mix_row"), F.col("source").alias("mix_source"), n_words(F.col("text")).alias("mix_size"), draw(F.col("doc_id"), seed).alias("mix_draw"))
+    if not whole_rows:  # a few bytes a row: write them once instead of counting words twice
         sized = stash(sized, "mix-sizes")
     rates = stash(targets(sized.select("mix_source", "mix_size"), share, weights, max_rate), "mix-rates")
     if rates.count() <= MAX_SOURCES:
@@ -75,14 +75,13 @@ def mix_plan(docs: DataFrame, seed: str = SEED, share: float = 1.5, weights: Seq
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: docs' own columns, a row per copy taken."""
-    names = docs.columns
-    plan = mix_plan(docs, columns=names, **how).where("copies > 0")
-    return plan.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    plan = mix_plan(docs, whole_rows=True, **how).where("copies > 0")
+    return plan.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("mix_row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(read(spark, sf_dir, "documents"), columns=["doc_id"])
-    return plan.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("copies")).alias("taken"))
+    plan = mix_plan(read(spark, sf_dir, "documents"))
+    return plan.select(F.col("mix_row").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

@@ -13,7 +13,7 @@ among them count once. Scoring covers every window of every whole text.
 Defined cases: null and empty texts have one empty window, no gain, and get the score of that; without
 labels of both kinds, or without telling spans, every score is the labels' share of toxic rows (0 if
 none); ties and repeated rows score alike; null labels are no labels; empty tables give no rows; extra columns pass
-through ``score``.
+through ``score``, which replaces one named toxic_score.
 """
 
 from __future__ import annotations
@@ -213,6 +213,7 @@ def fold(doc_id) -> F.Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score, from the text alone."""
+    docs = docs.drop("toxic_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
