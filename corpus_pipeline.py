@@ -16,12 +16,13 @@ from eventloom.llm._common import read, stash
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs less those the compression model finds toxic; it learns from labelled rows of docs."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxic_score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model).where("toxic_score < 0.5").drop("toxic_score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each repeated line left in one document only; n_chars follows the text."""
-    out = linededup.dedup_lines(docs).select(*docs.columns)
+    own = [c for c in docs.columns if c not in ("line_n", "line_dropped", "_doc", "_gone")]
+    out = linededup.dedup_lines(docs).select(*own)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

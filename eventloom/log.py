@@ -7,9 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CASE_WINDOW = Window.partitionBy("case").orderBy("ts", "seq")
-
-
 def epoch_s(ts) -> Column:
     """Whole epoch seconds, rounded half up."""
     return F.floor((F.unix_micros(ts) + 500_000) / 1_000_000).cast("long")
@@ -56,7 +53,7 @@ class EventLog:
             e = e.withColumn("own_start_s", own).withColumn("ok_start", ok).withColumn("start_s", F.when(ok, own).otherwise(F.col("end_s")))
         else:
             e = e.withColumn("own_start_s", F.lit(None).cast("long")).withColumn("ok_start", F.lit(False)).withColumn("start_s", F.col("end_s"))
-        w = CASE_WINDOW
+        w = Window.partitionBy("case").orderBy("ts", "seq")
         follow = F.lead("own_start_s" if self.interval else "end_s").over(w)
         return e.select(
             "*",

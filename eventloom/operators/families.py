@@ -58,7 +58,7 @@ def numeric_axis(cases: DataFrame, name: str, bins: int = 4, edges: list[float]
     discrete = edges is None and all(b - a == 1 and a == int(a) for a, b in zip(own, own[1:], strict=False))
     labels = [_number(a) if discrete else f"{_number(a)}-{_number(b)}" for a, b in zip(own, own[1:], strict=False)]
     i = bin_index(F.col(name), own)
-    return F.element_at(F.array(*map(F.lit, labels)), i + 1), i + 1
+    return F.get(F.array(*map(F.lit, labels)), i), i + 1
 
 
 def partition(log: EventLog, attributes: list[str], min_cases: int = 0, max_values: int = 12, bins: int = 4, unknown: bool = True) -> DataFrame:

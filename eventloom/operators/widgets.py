@@ -101,12 +101,16 @@ def half_away(v: Column, digits: int) -> Column:
     return F.signum(v) * F.floor(F.abs(v) * m + 0.5) / m
 
 
+def _number(v: Column, pattern: str) -> Column:
+    return F.call_function("format_number", v, F.lit(pattern))
+
+
 def format_value(v: Column, kind: str) -> Column:
     """Display text: adaptive d / h / m / s, percent with a decimal, counts with commas."""
     sign, x = F.when(v < 0, "-").otherwise(""), F.abs(v) * 86400.0
-    unit = lambda per, u: F.concat(sign, F.format_number(half_away(x / per, 1), "#,##0.#"), F.lit(u))
+    unit = lambda per, u: F.concat(sign, _number(half_away(x / per, 1), "#,##0.#"), F.lit(u))
     time = F.when(x >= 86400, unit(86400, " d")).when(x >= 3600, unit(3600, " h")).when(x >= 60, unit(60, " m")).otherwise(unit(1, " s"))
-    text = time if kind == "time" else F.concat(F.format_number(half_away(v, 1), "#,##0.0"), F.lit("%")) if kind == PERCENT else F.format_number(half_away(v, 2), "#,##0.##")
+    text = time if kind == "time" else F.concat(_number(half_away(v, 1), "#,##0.0"), F.lit("%")) if kind == PERCENT else _number(half_away(v, 2), "#,##0.##")
     return F.when(v.isNull(), "—").otherwise(text)
 
 
