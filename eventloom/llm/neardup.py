@@ -3,7 +3,8 @@
 One hash function over 5-word shingles; a document's sketch is the K smallest hashes of its set.
 Documents with equal sets form a class first, so copies cost nothing more. Two sets of Jaccard
 similarity >= 0.75 share, among the k smallest hashes of their union, a Binomial(k, 0.75) number of
-values: for k = 48 fewer than 20, and for k = 256 fewer than 154, each with probability 2e-8. The
+values: for k = 48 fewer than 20 with probability 2.1e-7, and for
+k = 256 fewer than 154 with probability 6.2e-8. The
 first is used for candidates: of a document's 48 smallest values only the 29 rarest go to the inverted
 lists, because the rarest of 20 shared values is among them on both sides. So a passage that many
 documents share makes long lists only for documents that consist of it. The second is the union-sketch
