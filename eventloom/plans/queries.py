@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import families, logfilters, performance, resources, suggest, tree, variants, widgets
+from ..operators import alignment, attributes, decisions, dfg, families, logfilters, performance, resources, scenarios, skeleton, suggest, tree, variants, widgets
 from ..operators.metrics import Cases
-from ..sources.tables import chat_log, events_log, line_log, sessions_log
+from ..sources.tables import chat_log, events_log, line_log, sessions_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -286,4 +286,73 @@ def _pruned(log, t: tree.Tree) -> DataFrame:
 
 add("pruned_tree", _mined(_pruned))
 
+# Alignments, decisions, scenarios: the lines of an order, shipped before or after the cut-off date
+
+
+def _line_tree() -> tree.Tree:
+    """Returned, accepted or open early lines, then open late lines; either part may be missing."""
+    n, x = tree.node, tree.leaf
+    early = n(tree.LOOP, n(tree.XOR, x("AF"), x("RF"), x("NF")), tree.TAU)
+    return n(tree.SEQ, n(tree.XOR, tree.TAU, early), n(tree.XOR, tree.TAU, n(tree.LOOP, x("NO"), tree.TAU)))
+
+
+_EARLY = "('AF', 'RF', 'NF')"
+_FIT = ", ft AS (SELECT c, trace, len(list_filter(trace, lambda x: x <> 'NO')) AS early FROM cs WHERE regexp_full_match(array_to_string(trace, ',') || ',', '((AF|RF|NF),)*(NO,)*')) "
+_LABELS = _FIT + f", lb AS (SELECT c, 1 AS choice, (early > 0)::INT AS branch FROM ft UNION ALL SELECT c, 9, (len(trace) > early)::INT FROM ft UNION ALL SELECT c, 4, list_position(['AF', 'RF', 'NF'], trace[1]) - 1 FROM ft WHERE early = 1) "
+add("branch_labels", lambda s, d: decisions.branch_labels(line_log(s, d), _line_tree()).groupBy("choice", "branch").agg(F.count("*").alias("cases")), _LABELS + "SELECT choice::INT AS choice, branch::INT AS branch, count(*)::BIGINT AS cases FROM lb GROUP BY 1, 2", "li")
+add(
+    "alignment_repair",
+    lambda s, d: alignment.walked(variants.case_variants(line_log(s, d))[1], _line_tree()).groupBy("status", "cost").agg(F.sum("n").alias("cases"), F.count("*").alias("sequences")),
+    f", u AS (SELECT c, trace, idx, (a = 'NO')::INT AS late, (a IN {_EARLY})::INT AS early FROM ev JOIN cs USING (c)), p AS (SELECT *, sum(late) OVER w AS late_before, sum(early) OVER (PARTITION BY c) AS all_early, sum(early) OVER (PARTITION BY c) - sum(early) OVER w AS early_after FROM u WINDOW w AS (PARTITION BY c ORDER BY idx)), k AS (SELECT c, any_value(trace) AS trace, sum(1 - late - early) + least(min(late_before + early_after), any_value(all_early)) AS cost FROM p GROUP BY c) SELECT CASE WHEN cost = 0 THEN 'fitting' ELSE 'repaired' END AS status, cost::INT AS cost, count(*)::BIGINT AS cases, count(DISTINCT trace)::BIGINT AS sequences FROM k GROUP BY 1, 2",
+    "li",
+)
+add("traversal_totals", lambda s, d: alignment.traversal_stats(line_log(s, d), _line_tree(), repair=False)[1].drop("signatures").withColumn("coverage", _r("coverage")).withColumn("fitting_ratio", _r("fitting_ratio")), _FIT + ", n AS (SELECT count(*)::BIGINT AS t, count(DISTINCT trace)::BIGINT AS q FROM cs), f AS (SELECT count(*)::BIGINT AS f FROM ft) SELECT t AS total, f AS fitting, 0::BIGINT AS repaired, t - f AS unexplained, q AS sequences, round(f / t, 6)::DOUBLE AS coverage, round(f / t, 6)::DOUBLE AS fitting_ratio FROM n, f", "li")
+add("branch_traversals", lambda s, d: alignment.branch_counts(_line_tree(), alignment.traversal_stats(line_log(s, d), _line_tree(), repair=False)[0]), _FIT + ", x AS (SELECT unnest(trace) AS a FROM ft), sp AS (SELECT * FROM (VALUES (1, 0), (1, 1), (4, 0), (4, 1), (4, 2), (9, 0), (9, 1)) v(choice, branch)), n AS (SELECT 1 AS choice, (early > 0)::INT AS branch FROM ft UNION ALL SELECT 9, (len(trace) > early)::INT FROM ft UNION ALL SELECT 4, list_position(['AF', 'RF', 'NF'], a) - 1 FROM x WHERE a <> 'NO') SELECT sp.choice::INT AS choice, sp.branch::INT AS branch, count(n.choice)::BIGINT AS visits FROM sp LEFT JOIN n ON n.choice = sp.choice AND n.branch = sp.branch GROUP BY 1, 2", "li")
+
+
+def _line_attributes(s: SparkSession, d: str) -> list[attributes.Attribute]:
+    return attributes.classify(line_log(s, d).attrs)
+
+
+def _fork_conditions(s: SparkSession, d: str) -> DataFrame:
+    log = line_log(s, d)
+    forks = decisions.mine_forks(log, _line_tree(), log.attrs, _line_attributes(s, d))
+    return s.createDataFrame([(f.choice, b, c, round(f.accuracy, 6), f.cases) for f in forks for b, c in enumerate(f.conditions)], "choice int, branch int, condition string, accuracy double, cases long")
+
+
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    """The attributes of orders that the table of their lines reveals."""
+    df = table(s, d, "lineitem").join(table(s, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    seq = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    found = attributes.detect(df.withColumn("seq", seq), "l_orderkey", "seq")[1]
+    return s.createDataFrame([(a.source, a.name, a.kind, a.scale, len(a.values)) for a in found], "source string, name string, kind string, scale int, n_values int")
+
+
+def _scenarios(s: SparkSession, d: str) -> DataFrame:
+    return scenarios.scenarios(line_log(s, d), _line_tree())
+
+
+def _representatives(s: SparkSession, d: str) -> DataFrame:
+    log = line_log(s, d)
+    last = log.df.groupBy("case").agg(F.max_by("act", F.struct("ts", "seq")).alias("variant"))
+    return attributes.representatives(log.attrs, last, _line_attributes(s, d))
+
+
+def _family_choices(s: SparkSession, d: str) -> DataFrame:
+    log = line_log(s, d)
+    return _rounded(skeleton.family_choices(log, families.partition(log, ["status"]))[0])
+
+
+add("or_fork_conditions", _fork_conditions)
+add("detected_attributes", _detected)
+_REP = ", o AS (SELECT CAST(o_orderkey AS VARCHAR) AS c, '_' || regexp_replace(o_orderpriority, '[^0-9A-Za-z_]+', '_', 'g') AS priority, o_orderstatus AS status, o_totalprice AS price FROM orders), t AS (SELECT trace[-1] AS variant, o.* FROM cs JOIN o USING (c))"
+_REP += "".join(f", m_{a} AS (SELECT variant, '{a}' AS attribute, {a} AS value FROM (SELECT variant, {a}, row_number() OVER (PARTITION BY variant ORDER BY count(*) DESC, {a}) AS k FROM t GROUP BY variant, {a}) WHERE k = 1)" for a in ("priority", "status"))
+add("representative_values", _representatives, _REP + " SELECT * FROM m_priority UNION ALL SELECT * FROM m_status UNION ALL SELECT variant, 'price', round_even(quantile_cont(price, 0.5) * 100, 0)::BIGINT::VARCHAR FROM t GROUP BY variant", "li")
+add("successions", lambda s, d: dfg.edges(line_log(s, d)), " SELECT a, na AS b, count(*)::BIGINT AS n FROM ev GROUP BY a, na UNION ALL SELECT NULL, a, count(*)::BIGINT FROM ev WHERE idx = 1 GROUP BY a", "li")
+add("graph_tree", lambda s, d: s.createDataFrame([(tree.to_json(dfg.discover(line_log(s, d))),)], "tree string"))
+add("family_choices", _family_choices)
+add("scenarios", lambda s, d: _scenarios(s, d).select("variant", "cases", _r("share").alias("share"), F.to_json("settings").alias("settings"), F.concat_ws(" → ", "trace").alias("trace"), F.size("visited").alias("visited"), F.size("problems").alias("problems")))
+add("scenario_coverage", lambda s, d: scenarios.coverage(_scenarios(s, d), scenarios.model_of(_line_tree())))
+add("scenario_comparison", lambda s, d: scenarios.compare_all(_scenarios(s, d), "v1").withColumn("agreement", _r("agreement")))
+
 FLAGSHIP = "case_duration_by_segment"
