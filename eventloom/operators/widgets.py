@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..log import EventLog
-from .metrics import CATALOG, PERCENT, SERIES, Cases, result_type, series
+from .metrics import CATALOG, DAY, PERCENT, SERIES, Cases, result_type, series
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 HISTOGRAM_BINS, INTEGER_SPAN, MAX_OUTLIERS = 20, 40, 100
@@ -147,7 +147,9 @@ def compute_widget(log: EventLog, spec: dict, filters: tuple[dict, ...] = ()) ->
         v = F.col("value")
         if target and target.get("per_case"):
             v, agg = F.when(v.isNotNull(), (state(v, target | {"warn": None}) == "met").cast("double")), "share"
-        out = grouped(t.withColumn("value", v), agg)
+        exact = kind == "time" and agg in ("avg", "sum")  # whole seconds add up alike in any order of rows
+        out = grouped(t.withColumn("value", F.rint(v * (DAY * 1e6)) / 1e6 if exact else v), agg)
+        out = out.withColumn("value", F.col("value") / DAY) if exact else out
     if target:
         goal = target if not target.get("per_case") else {"dir": "min", "value": target["per_case"], "warn": target.get("warn")}
         out = out.withColumn("state", state(F.col("value"), goal))
