@@ -3,9 +3,9 @@
 A store holds the hashes of every line seen so far as sorted runs, grouped in levels. Batches arrive in
 document order. Each batch is anti-joined with the runs: keys not yet held form a new run with the
 smallest document that holds them, and once a level has ``fan_in`` runs they are merged into one run of
-the next level, so a key is rewritten a logarithmic number of times. A batch's line survives exactly if
-its (key, document) pair is in the batch's own new run, so that join is on key and document and no
-common line makes a hot partition.
+the next level, so a key is rewritten a logarithmic number of times. A line survives exactly if its
+(key, document) pair is in the runs, so that join is on key and document, no common line makes a hot
+partition, and one join serves any number of batches once they are added.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document; a null
 doc_id counts as one document after all others; empty tables give empty results; extra columns pass,
@@ -81,17 +81,18 @@ class LineRuns:
         return path
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch (doc, ord, h1, h2) whose documents follow all earlier ones; returns its lines to drop as (doc, ord)."""
+        """Add a batch (doc, ord, h1, h2) whose documents follow all earlier ones; returns its ``drops``."""
         new = lines.groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
         if held := self.runs():
             new = new.join(self._read(held).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        run = self._write(new, 0)
-        kept = self._read([run]).withColumnRenamed("owner", "doc")
-        dropped = lines.join(kept, ["h1", "h2", "doc"], "left_anti").select("doc", "ord")
-        dropped = stash(dropped, "line-drops")
-        self.levels[0].append(run)
+        self.levels[0].append(self._write(new, 0))
         self._compact()
-        return dropped
+        return self.drops(lines)
+
+    def drops(self, lines: DataFrame) -> DataFrame:
+        """(doc, ord) of the lines of added batches that another document holds; lazy, so read it before adding more."""
+        kept = self._read(self.runs()).withColumnRenamed("owner", "doc")
+        return lines.join(kept, ["h1", "h2", "doc"], "left_anti").select("doc", "ord")
 
     def _compact(self) -> None:
         level = 0
@@ -140,12 +141,9 @@ def dedup_lines(docs: DataFrame, n_batches: int = N_BATCHES, fan_in: int = FAN_I
     low, high = low or 0, high or 0
     step = (high - low) // n_batches + 1
     store = LineRuns(spark, scratch_path(spark, "line-runs"), fan_in)
-    gone = None
     for i in range(n_batches):
-        part = lines.where((F.col("doc") >= low + i * step) & ((F.col("doc") < low + (i + 1) * step) if i + 1 < n_batches else F.lit(True)))
-        drops = store.add(part)
-        gone = drops if gone is None else gone.union(drops)
-    gone = gone.groupBy("doc").agg(F.collect_list("ord").alias("_gone"))
+        store.add(lines.where((F.col("doc") >= low + i * step) & ((F.col("doc") < low + (i + 1) * step) if i + 1 < n_batches else F.lit(True))))
+    gone = store.drops(lines).groupBy("doc").agg(F.collect_list("ord").alias("_gone"))
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(_LAST)))
     wide = keyed.join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").drop("_doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("line_n", T.LongType()), T.StructField("line_dropped", T.LongType())])
