@@ -266,9 +266,11 @@ add("mined_tree", lambda s, d: s.createDataFrame([(tree.to_json(tree.discover(ch
 
 
 def _mined(fn):
+    """fn over all sessions and the tree of their directly-follows graph, so the driver sees no distinct traces."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        log = logfilters.variant_ranks(sessions_log(s, d), 1, 30)
-        return fn(log, tree.discover(log))
+        log = sessions_log(s, d)
+        return fn(log, dfg.discover(log))
 
     return run
 
