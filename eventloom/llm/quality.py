@@ -3,9 +3,11 @@
 Per document: whole-text statistics and four rules. Rule failures are summed by host (a documents'
 table names it ``source``). A host's failure rate is shrunk with an empirical beta prior: the prior's
 mean and strength come from the hosts' own rates by the method of moments, so a host with few
-documents stays near the mean of all hosts. A host whose shrunk rate for any rule is over the limit is
-blocked for that rule, and the verdict is joined back: a document goes if it fails a rule for which
-its host is blocked, or fails the base rules; clean documents of a blocked host stay.
+documents stays near the mean of all hosts. A host whose shrunk rate for any rule is over the rule's limit
+is blocked for that rule, and the verdict is joined back: a document goes if it fails a rule for which
+its host is blocked, or fails the base rules (few_words, repeats); clean documents of a blocked host stay.
+The limit is SPREAD standard deviations of the fitted prior above its mean, LIMIT at most. If the hosts'
+rates vary no more than chance lets equal hosts vary, there is no spread to go by and LIMIT stands.
 
 Defined cases: null or empty texts have no words and fail the base; a null host is a host of its own; repeated rows
 count each; an empty table gives no rows; extra columns pass through ``judge_hosts``.
@@ -13,6 +15,7 @@ count each; an empty table gives no rows; extra columns pass through ``judge_hos
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,10 @@ from ._common import WHITE, batch, bounded, map_rows, read, stash
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Shrunk failure rate over which a host is blocked for a rule.
+#: Shrunk failure rate over which a host is blocked for a rule in any case.
 LIMIT = 0.5
+#: Standard deviations of the prior by which a blocked host's shrunk rate is above the mean.
+SPREAD = 2.0
 MAX_HOSTS = 1_000_000
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
 _STATS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"))])
@@ -83,8 +88,15 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return map_rows(docs.select("doc_id", F.col(host).cast("string").alias("host"), "text"), _measured, _STATS)
 
 
-def host_rates(stats: DataFrame) -> DataFrame:
-    """Per host: documents, and for each rule the failures and the shrunk rate.
+def block_limit(mean: float | None, strength: float | None, between: float | None, limit: float = LIMIT) -> float:
+    """The shrunk rate over which a host is blocked, by the prior's mean and strength and the variance between hosts."""
+    if not between or between <= 0:
+        return limit
+    return min(limit, mean + SPREAD * math.sqrt(mean * (1 - mean) / (strength + 1)))
+
+
+def host_rates(stats: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Per host: documents, and for each rule the failures, the shrunk rate and whether it is blocked.
 
     Moments over hosts: mean m weighted by documents, between-host variance v of the raw rates less their
     mean binomial variance; the prior's strength is m (1 - m) / v - 1, held between 1 and 1e6.
@@ -96,22 +108,23 @@ def host_rates(stats: DataFrame) -> DataFrame:
         n, k = F.col("docs"), F.col(f"{r}_n")
         m = F.sum(k) / F.sum(n)
         v = F.sum(n * (k / n) * (k / n)) / F.sum(n) - m * m - m * (1 - m) * F.count("*") / F.sum(n)
-        prior += [m.alias(f"{r}_m"), F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6)).alias(f"{r}_s")]
-    one = per.agg(*prior).first()  # one row: two numbers a rule; null if there are no hosts
+        prior += [m.alias(f"{r}_m"), v.alias(f"{r}_v"), F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6)).alias(f"{r}_s")]
+    one = per.agg(*prior).first()  # one row: three numbers a rule; null if there are no hosts
     rates = [((F.col(f"{r}_n") + (one[f"{r}_m"] or 0.0) * one[f"{r}_s"]) / (F.col("docs") + one[f"{r}_s"])).alias(f"{r}_rate") for r in RULES]
-    return per.select("host", "docs", *(f"{r}_n" for r in RULES), *rates)
+    out = per.select("host", "docs", *(f"{r}_n" for r in RULES), *rates)
+    return out.select("*", *((F.col(f"{r}_rate") > block_limit(one[f"{r}_m"], one[f"{r}_s"], one[f"{r}_v"], limit)).alias(f"{r}_blocked") for r in RULES))
 
 
 def judge_hosts(docs: DataFrame, host: str = "source", limit: float = LIMIT) -> DataFrame:
-    """Per document: its statistics, its host's shrunk rates, base_failed and kept."""
+    """Per document: its statistics, its host's shrunk rates and verdicts, base_failed and kept."""
     stats = stash(measure(docs, host), "host-stats")
-    rates = stash(host_rates(stats), "host-rates")
+    rates = stash(host_rates(stats, limit), "host-rates")
     joined = stats.join(bounded(rates, MAX_HOSTS).withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_")), "left")
     fail = failures()
     base = fail["few_words"] | fail["repeats"]
     blocked = F.lit(False)
     for r in RULES:
-        blocked = blocked | (fail[r] & (F.col(f"{r}_rate") > limit))
+        blocked = blocked | (fail[r] & F.col(f"{r}_blocked"))
     return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~blocked)
 
 
