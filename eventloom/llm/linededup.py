@@ -7,8 +7,11 @@ the next level, so a key is rewritten a logarithmic number of times. A line surv
 (key, document) pair is in the runs, so that join is on key and document, no common line makes a hot
 partition, and one join serves any number of batches once they are added.
 
-Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document; a null
-doc_id counts as one document after all others; empty tables give empty results; extra columns pass,
+The places of a document's dropped lines are told by its id and a 128-bit hash of its text, so each row is
+rewritten by its own lines, however many rows share an id or have none.
+
+Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document; all rows
+with a null doc_id are one document after all others; empty tables give empty results; extra columns pass,
 but columns named line_n, line_dropped, _doc or _gone are replaced or dropped.
 """
 
@@ -29,6 +32,7 @@ N_BATCHES = 4
 FAN_IN = 3
 _LAST = (1 << 63) - 1
 _KEYS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+_ROWS = T.StructType([*_KEYS, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType())])
 _RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("owner", T.LongType())])
 
 
@@ -43,20 +47,26 @@ def line_keys(text: str | None) -> list[bytes | None]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        doc, place, h1, h2 = [], [], [], []
-        for i, text in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True):
+        doc, place, h1, h2, t1, t2 = [], [], [], [], [], []
+        for i, text, a, b in zip(*(rows[c].to_pylist() for c in range(4)), strict=True):
             for n, key in enumerate(dict.fromkeys(k for k in line_keys(text) if k is not None)):
                 d = xxhash.xxh3_128_intdigest(key)
                 doc.append(_LAST if i is None else i)
                 place.append(n)
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
-        yield batch({"doc": doc, "ord": place, "h1": h1, "h2": h2}, _KEYS)
+                t1.append(a)
+                t2.append(b)
+        yield batch({"doc": doc, "ord": place, "h1": h1, "h2": h2, "t1": t1, "t2": t2}, _ROWS)
+
+
+def _text_hash() -> list[F.Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
 def hash_lines(docs: DataFrame) -> DataFrame:
-    """(doc, ord, h1, h2): the 128-bit hash of each distinct key of a document, ord its place among them."""
-    return map_rows(docs.select("doc_id", "text"), _hashed, _KEYS)
+    """(doc, ord, h1, h2, t1, t2): the 128-bit hash of each distinct key of a row, ord its place among them, and the text's hash."""
+    return map_rows(docs.select("doc_id", "text", *_text_hash()), _hashed, _ROWS)
 
 
 class LineRuns:
@@ -90,9 +100,9 @@ class LineRuns:
         return self.drops(lines)
 
     def drops(self, lines: DataFrame) -> DataFrame:
-        """(doc, ord) of the lines of added batches that another document holds; lazy, so read it before adding more."""
+        """lines of added batches that another document holds, less their hashes; lazy, so read it before adding more."""
         kept = self._read(self.runs()).withColumnRenamed("owner", "doc")
-        return lines.join(kept, ["h1", "h2", "doc"], "left_anti").select("doc", "ord")
+        return lines.join(kept, ["h1", "h2", "doc"], "left_anti").drop("h1", "h2")
 
     def _compact(self) -> None:
         level = 0
@@ -143,9 +153,9 @@ def dedup_lines(docs: DataFrame, n_batches: int = N_BATCHES, fan_in: int = FAN_I
     store = LineRuns(spark, scratch_path(spark, "line-runs"), fan_in)
     for i in range(n_batches):
         store.add(lines.where((F.col("doc") >= low + i * step) & ((F.col("doc") < low + (i + 1) * step) if i + 1 < n_batches else F.lit(True))))
-    gone = store.drops(lines).groupBy("doc").agg(F.collect_list("ord").alias("_gone"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(_LAST)))
-    wide = keyed.join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").drop("_doc")
+    gone = store.drops(lines).groupBy(F.struct("doc", "t1", "t2").alias("_doc")).agg(F.collect_set("ord").alias("_gone"))
+    keyed = docs.withColumn("_doc", F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("doc"), *_text_hash()))
+    wide = keyed.join(gone.hint("shuffle_hash"), "_doc", "left").drop("_doc")
     schema = T.StructType([*docs.schema.fields, T.StructField("line_n", T.LongType()), T.StructField("line_dropped", T.LongType())])
     return map_rows(wide, _rewritten(schema), schema)
 

@@ -1,8 +1,9 @@
 """The whole job: verdicts that decide, rows without an id, words of any rank."""
 
-from eventloom.llm import quality
+from eventloom.llm import linededup, quality
 
-from .conftest import words
+from .conftest import make_docs, words
+from .test_operators import plain_dedup
 
 
 def test_host_far_above_the_others_is_blocked_below_half(spark):
@@ -25,3 +26,13 @@ def test_hosts_that_differ_by_chance_alone_are_not_blocked(spark):
         for i in range(40):
             rows.append((len(rows), " ".join(w + "#" * (i < 3 + h % 2) for w in words(len(rows), 40)), f"h{h}"))
     assert all(r["kept"] for r in quality.judge_hosts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_rows_without_an_id_or_of_one_id_lose_their_own_lines_only(spark):
+    held = "a line that document one holds"
+    texts = [held, f"{held}\nfirst line of one row", f"first line of another row\n{held}", "no line of this row is held", f"an early text of seven\n{held}", f"{held}\na later text of seven", f"{held}\nfirst line of one row"]
+    ids = [1, None, None, None, 7, 7, None]
+    for n in (1, 4):
+        out = linededup.dedup_lines(make_docs(spark, texts, ids), n_batches=n, fan_in=2).collect()
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["line_n"], r["line_dropped"], r["text"]) for r in out)
+        assert got == plain_dedup(list(zip(ids, texts, strict=True)))
