@@ -311,6 +311,10 @@ add(
 add("traversal_totals", lambda s, d: alignment.traversal_stats(line_log(s, d), _line_tree(), repair=False)[1].drop("signatures").withColumn("coverage", _r("coverage")).withColumn("fitting_ratio", _r("fitting_ratio")), _FIT + ", n AS (SELECT count(*)::BIGINT AS t, count(DISTINCT trace)::BIGINT AS q FROM cs), f AS (SELECT count(*)::BIGINT AS f FROM ft) SELECT t AS total, f AS fitting, 0::BIGINT AS repaired, t - f AS unexplained, q AS sequences, round(f / t, 6)::DOUBLE AS coverage, round(f / t, 6)::DOUBLE AS fitting_ratio FROM n, f", "li")
 add("branch_traversals", lambda s, d: alignment.branch_counts(_line_tree(), alignment.traversal_stats(line_log(s, d), _line_tree(), repair=False)[0]), _FIT + ", x AS (SELECT unnest(trace) AS a FROM ft), sp AS (SELECT * FROM (VALUES (1, 0), (1, 1), (4, 0), (4, 1), (4, 2), (9, 0), (9, 1)) v(choice, branch)), n AS (SELECT 1 AS choice, (early > 0)::INT AS branch FROM ft UNION ALL SELECT 9, (len(trace) > early)::INT FROM ft UNION ALL SELECT 4, list_position(['AF', 'RF', 'NF'], a) - 1 FROM x WHERE a <> 'NO') SELECT sp.choice::INT AS choice, sp.branch::INT AS branch, count(n.choice)::BIGINT AS visits FROM sp LEFT JOIN n ON n.choice = sp.choice AND n.branch = sp.branch GROUP BY 1, 2", "li")
 
+# with repaired cases, over the whole log (no SQL: of equal paths the aligner takes one)
+add("repaired_totals", lambda s, d: alignment.traversal_stats(line_log(s, d), _line_tree())[1].drop("signatures").withColumn("coverage", _r("coverage")).withColumn("fitting_ratio", _r("fitting_ratio")))
+add("repaired_branches", lambda s, d: alignment.branch_counts(_line_tree(), alignment.traversal_stats(line_log(s, d), _line_tree())[0]))
+
 
 def _line_attributes(s: SparkSession, d: str) -> list[attributes.Attribute]:
     return attributes.classify(line_log(s, d).attrs)

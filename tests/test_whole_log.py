@@ -1,13 +1,16 @@
 """Queries over a whole small log against plain counts of it."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 
 from eventloom.plans.queries import QUERIES
 
+from .test_scenarios import distance
+
 
 @pytest.fixture(scope="module")
 def sessions(spark, tmp_path_factory):
@@ -46,3 +49,28 @@ def test_mined_queries_see_every_session(spark, sessions):
     assert pruned["before"] == "+(" + ", ".join(f"X(tau, *('{a}', tau))" for a in "abcd") + ")"
     # a branch goes if under a tenth of all sessions take it; the commoner one of each choice stays
     assert pruned["removed"] == sum(min(h := sum(a in t for t in traces), len(traces) - h) < 0.1 * len(traces) for a in "abcd")
+
+
+def test_repaired_queries_against_a_brute_force_aligner(spark, tmp_path):
+    early = ("AF", "RF", "NF")
+    model = [(*a, *["NO"] * k) for n in range(5) for a in itertools.product(early, repeat=n) for k in range(5)]
+    r, traces, nearest = random.Random(2), [], []
+    while len(traces) < 60:
+        t = tuple(r.choice([*early, "NO", "NO", "AO"]) for _ in range(r.randint(1, 4)))
+        cost = {w: distance(t, w) for w in model}
+        best = [w for w in model if cost[w] == min(cost.values())]
+        if len(best) == 1:  # of equal ones the aligner is free
+            traces.append(t)
+            nearest.append(best[0])
+    lines = [(i, 1, 1, n, 1.0, float(n), a[0], a[1], date(2024, 1, 1) + timedelta(days=n)) for i, t in enumerate(traces) for n, a in enumerate(t)]
+    orders = [(i, date(2023, 12, 1), "p", "s", 1.0) for i in range(len(traces))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate date, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    fit = sum(t == w for t, w in zip(traces, nearest, strict=True))
+    got = QUERIES["repaired_totals"](spark, str(tmp_path)).first()
+    assert 0 < fit < 60 and (got["total"], got["fitting"], got["repaired"], got["unexplained"], got["sequences"]) == (60, fit, 60 - fit, 0, len(set(traces)))
+    assert got["coverage"] == 1.0 and got["fitting_ratio"] == round(fit / 60, 6)
+    want = Counter({(c, b): 0 for c, n in ((1, 2), (4, 3), (9, 2)) for b in range(n)})
+    for w in nearest:
+        want.update([(1, int(any(a in early for a in w))), (9, int("NO" in w)), *((4, early.index(a)) for a in w if a in early)])
+    assert {(r["choice"], r["branch"]): r["visits"] for r in QUERIES["repaired_branches"](spark, str(tmp_path)).collect()} == dict(want)
