@@ -8,7 +8,8 @@ one is shorter under the toxic dictionary. A document's features are the largest
 a logistic curve fitted on training rows that the dictionaries did not see turns them into a score.
 
 The fit uses at most MAX_TOXIC + MAX_ORDINARY labelled training documents, chosen by hash; near copies
-among them count once. Scoring covers every window of every whole text.
+among them count once. The ordinary dictionary is trained on all windows of their whole texts, or on the
+MAX_WINDOWS with the smallest hashes if there are more. Scoring covers every window of every whole text.
 
 Defined cases: null and empty texts have one empty window, no gain, and get the score of that; without
 labels of both kinds, or without telling spans, every score is the labels' share of toxic rows (0 if
@@ -18,6 +19,7 @@ through ``score``, which replaces one named toxic_score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -34,6 +36,8 @@ from pyspark.sql import types as T
 from ._common import map_rows, read
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
+#: Windows of ordinary texts on which the ordinary dictionary is trained.
+MAX_WINDOWS = 40_000
 FOLDS = 5
 WINDOW_WORDS = 8
 MIN_SPAN, MAX_SPAN, MAX_SPANS = 5, 14, 200
@@ -155,8 +159,10 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _ordinary_dictionary(texts: list[str]) -> bytes:
-    samples = [w for t in texts for w in windows(t)[:200]][:40_000]
+def _ordinary_dictionary(texts: list[str], most: int | None = None) -> bytes:
+    every = ((xxhash.xxh3_64_intdigest(w), n, w) for n, w in enumerate(w for t in texts for w in windows(t)))
+    chosen = heapq.nsmallest(MAX_WINDOWS if most is None else most, every)
+    samples = [w for _, _, w in sorted(chosen, key=lambda x: x[1])]
     try:
         return zstandard.train_dictionary(4 * ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
     except zstandard.ZstdError:  # too few samples to train on: their own bytes

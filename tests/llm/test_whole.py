@@ -1,6 +1,6 @@
 """The whole job: verdicts that decide, rows without an id, words of any rank."""
 
-from eventloom.llm import linededup, quality
+from eventloom.llm import linededup, quality, toxicity
 
 from .conftest import make_docs, words
 from .test_operators import plain_dedup
@@ -36,3 +36,15 @@ def test_rows_without_an_id_or_of_one_id_lose_their_own_lines_only(spark):
         out = linededup.dedup_lines(make_docs(spark, texts, ids), n_batches=n, fan_in=2).collect()
         got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["line_n"], r["line_dropped"], r["text"]) for r in out)
         assert got == plain_dedup(list(zip(ids, texts, strict=True)))
+
+
+def test_dictionary_learns_from_whole_texts_of_all_documents(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 9))
+    texts = [" ".join(words(n, 4000)) for n in range(100)]  # 500 windows each
+    own = [set(toxicity.windows(t)) for t in texts]
+    toxicity._ordinary_dictionary(texts[:3])
+    assert set(seen[0]) == own[0] | own[1] | own[2]
+    toxicity._ordinary_dictionary(texts)
+    share = [len(o & set(seen[1])) / len(o) for o in own]
+    assert len(seen[1]) == 40_000 and min(share) > 0.6 and max(share) < 0.95
