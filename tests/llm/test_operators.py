@@ -189,10 +189,11 @@ def test_mixing_beyond_the_broadcast_bound(docs, monkeypatch):
 
 def test_encoder_gives_the_tokenizers_ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     own = packing.encoder()
-    for text in [*texts[:6], "", "it's  <|endoftext|> \n\n  x'LL é漢字　🙂 1234 ", "\r\n\t  a\xa0b", "'s 're\x00"]:
+    special = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>  \n", "<|endof", "x<|endoftext|>y  <|endoftext|"]
+    for text in [*texts[:6], *special, "", "it's  <|endoftext|> \n\n  x'LL é漢字　🙂 1234 ", "\r\n\t  a\xa0b", "'s 're\x00"]:
         assert own(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert own("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def check_packing(rows, texts_by_id, length):
@@ -230,27 +231,78 @@ def test_repeated_rows_are_packed_each(docs):
     assert packing.pack(docs).where("doc_id = 3").count() == 2
 
 
+def decreasing(sizes, capacity):
+    return len(packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), capacity))
+
+
+def fewest_bins(sizes, capacity):
+    """The optimum, by trying every bin for every piece in turn."""
+    best = len(sizes)
+
+    def place(rest, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= capacity and bins[k] not in bins[:k]:
+                place(rest[1:], (*bins[:k], bins[k] + rest[0], *bins[k + 1 :]))
+        place(rest[1:], (*bins, rest[0]))
+
+    place(sorted(sizes, reverse=True), ())
+    return best
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 99), max_size=60))
 def test_local_search_keeps_everything_and_fits(sizes):
-    bins = packing.pack_lengths(sizes, 100)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
-
-
-def test_local_search_raises_squared_fill():
+    found = packing.pack_lengths(sizes, 100)
+    assert sorted(i for b in found.bins for i in b) == list(range(len(sizes)))
+    assert all(0 < sum(sizes[i] for i in b) <= 100 for b in found.bins)
+    assert len(found.bins) <= min(found.began, decreasing(sizes, 100))
+
+
+def test_search_against_the_optimum():
+    r, above = random.Random(2), 0
+    for _ in range(150):
+        sizes = [r.randint(8, 70) for _ in range(r.randint(6, 12))]
+        n, best = len(packing.pack_lengths(sizes, 100).bins), fewest_bins(sizes, 100)
+        assert best <= n <= decreasing(sizes, 100)
+        above += n > best
+    assert above <= 3
+
+
+def test_search_finds_what_decreasing_order_does_not():
+    sizes = [44, 27, 27, 44, 27, 27, 56, 23, 23, 56, 20, 22] * 3  # decreasing order leaves gaps that an exchange fills
+    r, better, steps = random.Random(3), 0, 0
+    for _ in range(20):
+        mixed = [max(1, s + r.randint(-3, 3)) for s in sizes]
+        found = packing.pack_lengths(mixed, 100)
+        better += len(found.bins) < decreasing(mixed, 100)
+        steps += found.steps
+    assert better and steps > 100
+
+
+def test_every_step_raises_squared_fill():
     r = random.Random(1)
-    for _ in range(200):
-        sizes = [r.randint(5, 60) for _ in range(12)]
-        bins = [list(range(i, 12, 6)) for i in range(6)]
-        if any(sum(sizes[i] for i in b) > 100 for b in bins):
-            continue
-        free = [100 - sum(sizes[i] for i in b) for b in bins]
-        donor = max(range(6), key=lambda b: free[b])
-        before = sum((100 - f) ** 2 for f in free)
-        if packing._improve(bins, free, sizes, donor, [b for b in range(6) if b != donor and free[b]]):
-            assert sum((100 - f) ** 2 for f in free) > before
-            assert free == [100 - sum(sizes[i] for i in b) for b in bins] and min(free) >= 0
+    for _ in range(100):
+        sizes = [r.randint(5, 60) for _ in range(14)]
+        search = packing.Search(sizes, packing.best_fit(sizes, range(14), 100), 100)
+        for donor in range(len(search.bins)):
+            before = int((search.fill**2).sum())
+            if search.bins[donor] and search.step(donor):
+                assert int((search.fill**2).sum()) > before and search.fill.max() <= 100
+                assert [sum(sizes[i] for i in b) for b in search.bins] == search.fill.tolist()
+
+
+def test_search_runs_on_the_documents(spark, sf):
+    rows = packing.op9_best_fit_packing(spark, sf).collect()
+    short = [r for r in rows if r["length"] < packing.LENGTH]
+    used = len({r["sequence_id"] for r in short})
+    assert {r["group_steps"] > 0 for r in short} == {True}
+    assert used < short[0]["group_bins_began"] and used <= decreasing([r["length"] for r in short], packing.LENGTH)
 
 
 # Media
