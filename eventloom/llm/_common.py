@@ -56,10 +56,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` whose function sees at most ``rows`` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def batch(columns: dict[str, list], schema: T.StructType) -> pa.RecordBatch:

@@ -4,8 +4,10 @@ A page becomes a sequence of leaf blocks (runs of text between block-level tags)
 of its hashed tag path (tag names, class and id words of its ancestors), hashed words, and a few shape
 figures. A bidirectional LSTM in numpy reads the whole page's sequence and labels every block as main text or not, so
 a block's label depends on all of its page. It is trained here, by back-propagation through time, on
-pages built from randomly drawn site templates whose labels are known, and on at most SAMPLE pages of
-the table (smallest ids) that mark their article by an element; for a share of those the mark is hidden.
+pages built from randomly drawn site templates whose labels are known, and on at most SAMPLE pages (of
+SAMPLE_BYTES together) that mark their article by an element; for a share of those the mark is hidden. These
+pages are drawn by a hash from the whole table: ids and lengths of a few candidates reach the driver, then
+the drawn pages alone. A long page is learnt in stretches of STRETCH blocks, none of which is left out.
 
 Defined cases: null or empty html gives an empty text; unclosed tags, comments and quotes are read to
 their likely end; scripts, styles, titles and other invisible text are no blocks; repeated rows give equal results;
@@ -28,11 +30,11 @@ from pyspark.sql import types as T
 
 from ._common import batch, map_rows, read
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 64, 32, 8, 24
+PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 128, 64, 8, 24
 INPUT = PATH_DIM + WORD_DIM + SHAPE_DIM
-SAMPLE, SYNTHETIC, EPOCHS = 200, 360, 8
+SAMPLE, SAMPLE_BYTES, SYNTHETIC, EPOCHS = 200, 8 << 20, 360, 8
 BATCH_PAGES = 64
-MAX_TRAIN_BLOCKS = 400
+STRETCH = 400
 
 #: HTML element names.
 BLOCKS = frozenset("html body div p article section header footer nav aside main ul ol li h1 h2 h3 h4 h5 h6 table thead tbody tr td th blockquote pre form fieldset figure figcaption dl dt dd hr address details summary dialog label legend".split())
@@ -334,16 +336,32 @@ def train(sample: list[str], seed: int = 0) -> BiLstm:
             if rng.random() < 0.1:  # hide the mark
                 found = [Block(b.text, tuple((("div" if t in ("article", "main") else t), ws) for t, ws in b.path), b.linked) for b in found]
             pages.append((vectors(found), y))
-    pages = [(x, y) for x, y in pages if 0 < len(x) <= MAX_TRAIN_BLOCKS]  # longer pages are labelled, not learnt from
+    pages = [(x[i : i + STRETCH], y[i : i + STRETCH]) for x, y in pages for i in range(0, len(x), STRETCH)]
     return BiLstm(seed).fit(pages)
 
 
 def sample_pages(pages: DataFrame) -> list[str]:
-    rows = pages.where("html IS NOT NULL").orderBy("page_id", F.xxhash64("html")).limit(SAMPLE).select("html").collect()
-    return [r[0] for r in rows]
-
-
-_TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("blocks", T.IntegerType()), T.StructField("main_blocks", T.IntegerType())])
+    """At most SAMPLE pages of SAMPLE_BYTES together, in the order of a hash of id and url."""
+    drawn = pages.select("page_id", "url", "html").withColumn("draw", F.xxhash64(F.lit("sample"), "page_id", "url")).where("html IS NOT NULL")
+    among = drawn.where(F.pmod("draw", F.lit(1 << 20)) < min(1 << 20, (SAMPLE * 4 << 20) // max(1, pages.count())))
+    found = among.groupBy("draw").agg(F.max(F.octet_length("html")).alias("size"), F.count("*").alias("n")).orderBy("draw").limit(SAMPLE).collect()
+    chosen, size, rows = [], 0, 0
+    for r in found:  # of pages that share id and url, each counts
+        if rows + r["n"] <= SAMPLE and size + r["size"] * r["n"] <= SAMPLE_BYTES:
+            chosen.append(r["draw"])
+            size, rows = size + r["size"] * r["n"], rows + r["n"]
+    return [r["html"] for r in sorted(drawn.where(F.col("draw").isin(chosen)).select("draw", "html").collect())]
+
+
+_TEXT = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("blocks", T.IntegerType()),
+        T.StructField("main_blocks", T.IntegerType()),
+    ]
+)
 
 
 def extract(pages: DataFrame, model: BiLstm | None = None) -> DataFrame:

@@ -4,10 +4,12 @@
 file: access units of UNIT bytes, chunks of CHUNK units, a sync unit every SYNC. ``walk`` descends the
 nested boxes (32- and 64-bit sizes, size 0 to the end) and ``describe`` decodes the sample tables (stts,
 stsc, stsz, stco / co64, stss) into codec, duration and the byte range of every keyframe; payload bytes
-are only located, never decoded. ``stored_bytes`` then fetches a track's samples by those ranges.
+are only located, never decoded. ``stored_bytes`` then fetches a track's samples by those ranges. Samples of
+movie fragments (moof / traf / trun with the defaults of trex and tfhd) follow those of the sample tables.
 
 Defined cases: a null text is an empty payload, stored as one unit of zeros; a damaged container gives
-nulls with the reason; empty tables give no rows; equal texts give equal values; extra columns are ignored.
+nulls with the reason, and no count it states is trusted beyond the bytes that are there; empty tables give
+no rows; equal texts and repeated rows give equal values; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,8 +157,9 @@ class Track:
 
 def describe(data: bytes) -> list[Track]:
     """The tracks of a container from its boxes and sample tables."""
-    tracks = []
-    for trak in [t for m in walk(data) if m.kind == b"moov" for t in m.children if t.kind == b"trak"]:
+    tracks, top = [], walk(data)
+    more = _fragments(data, top)
+    for trak in [t for m in top if m.kind == b"moov" for t in m.children if t.kind == b"trak"]:
         stbl = trak.find(b"mdia", b"minf", b"stbl")
         if not stbl:
             raise BadContainer("track without sample tables")
@@ -167,6 +170,8 @@ def describe(data: bytes) -> list[Track]:
         scale, ticks = struct.unpack_from(">IQ", data, mdhd[0].body + 20) if data[mdhd[0].body] == 1 else struct.unpack_from(">II", data, mdhd[0].body + 12)
         codec = data[table[b"stsd"].body + 12 : table[b"stsd"].body + 16].decode("latin-1")
         fixed, n = struct.unpack_from(">II", data, table[b"stsz"].body + 4)
+        if fixed and n > len(data) // fixed:
+            raise BadContainer("stsz states more bytes than the file has")
         sizes = np.full(n, fixed, np.int64) if fixed else _table(data, table[b"stsz"], 1, 4)[:, 0]
         stts = _table(data, table[b"stts"], 2)
         if stts[:, 0].sum() != n:
@@ -190,10 +195,81 @@ def describe(data: bytes) -> list[Track]:
         if len(sync) and (sync.min() < 0 or sync.max() >= n):
             raise BadContainer("stss names a sample that is not there")
         kind = data[hdlr[0].body + 8 : hdlr[0].body + 12].decode("latin-1") if hdlr else ""
+        if extra := more.get(_track_id(data, trak)):
+            begin = int(stts.prod(axis=1).sum())
+            place, size, span, key = (np.array(x, np.int64) for x in zip(*extra, strict=True))
+            if (place < 0).any() or (place + size).max() > len(data):
+                raise BadContainer("samples lie beyond the file")
+            sync = np.concatenate([sync, n + np.flatnonzero(key)])
+            offsets, sizes = np.concatenate([offsets, place]), np.concatenate([sizes, size])
+            times = np.concatenate([times, begin + np.cumsum(span) - span])
+            ticks = max(ticks, begin + int(span.sum()))
         tracks.append(Track(kind, codec, scale, ticks / scale if scale else 0.0, offsets, sizes, times, sync))
     return tracks
 
 
+def _track_id(data: bytes, trak: Box) -> int | None:
+    tkhd = trak.find(b"tkhd")
+    return struct.unpack_from(">I", data, tkhd[0].body + (20 if data[tkhd[0].body] == 1 else 12))[0] if tkhd else None
+
+
+#: Flags of tfhd, in the order of their fields, and of trun's fields of a sample.
+_TFHD = ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I"))
+_TRUN = (0x100, 0x200, 0x400, 0x800)
+_DEFAULT_BASE_IS_MOOF, _NOT_SYNC = 0x20000, 0x10000
+
+
+def _fields(data: bytes, box: Box, at: int, layout: tuple) -> tuple[dict[int, int], int]:
+    """The optional fields that a box's flags announce, and the place after them."""
+    flags, out = int.from_bytes(data[box.body + 1 : box.body + 4], "big"), {}
+    for flag, form in layout:
+        if flags & flag:
+            if at + struct.calcsize(form) > box.end:
+                raise BadContainer(f"box {box.kind!r} is cut short")
+            out[flag] = struct.unpack_from(form, data, at)[0]
+            at += struct.calcsize(form)
+    return out, at
+
+
+def _fragments(data: bytes, top: list[Box]) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """Per track id the (offset, size, duration, sync) of the samples in movie fragments, in file order."""
+    defaults = {}
+    for trex in [x for m in top if m.kind == b"moov" for x in m.find(b"mvex", b"trex")]:
+        track, _, span, size, flags = struct.unpack_from(">5I", data, trex.body + 4)
+        defaults[track] = span, size, flags
+    out: dict[int, list[tuple[int, int, int, bool]]] = {}
+    for moof in [x for x in top if x.kind == b"moof"]:
+        after = moof.start
+        for traf in moof.find(b"traf"):
+            tfhd = traf.find(b"tfhd")
+            if not tfhd:
+                raise BadContainer("track fragment without a header")
+            (track,) = struct.unpack_from(">I", data, tfhd[0].body + 4)
+            own, _ = _fields(data, tfhd[0], tfhd[0].body + 8, _TFHD)
+            flags = int.from_bytes(data[tfhd[0].body + 1 : tfhd[0].body + 4], "big")
+            base = own.get(0x1, moof.start if flags & _DEFAULT_BASE_IS_MOOF else after)
+            span, size, how = (own.get(f, d) for f, d in zip((0x8, 0x10, 0x20), defaults.get(track, (0, 0, 0)), strict=True))
+            at = base
+            for trun in traf.find(b"trun"):
+                (n,) = struct.unpack_from(">I", data, trun.body + 4)
+                first, place = _fields(data, trun, trun.body + 8, ((0x1, ">i"), (0x4, ">I")))
+                at = base + first[0x1] if 0x1 in first else at
+                has = [f for f in _TRUN if int.from_bytes(data[trun.body + 1 : trun.body + 4], "big") & f]
+                if has and place + 4 * n * len(has) > trun.end or not has and size and n > len(data) // size:
+                    raise BadContainer("trun states more samples than there are")
+                if not (has or size):
+                    raise BadContainer("samples of a fragment have no size")
+                rows = np.frombuffer(data, ">u4", n * len(has), place).reshape(n, len(has)).tolist()
+                for k, row in enumerate(rows):
+                    value = dict(zip(has, row, strict=True))
+                    own_flags = value.get(0x400, first.get(0x4, how) if k == 0 else how)
+                    one = value.get(0x200, size)
+                    out.setdefault(track, []).append((at, one, value.get(0x100, span), not own_flags & _NOT_SYNC))
+                    at += one
+            after = at
+    return out
+
+
 def stored_bytes(data: bytes, track: Track) -> bytes:
     """A track's samples in order, by their byte ranges; adjacent ranges are fetched together."""
     if not len(track.offsets):
@@ -211,7 +287,20 @@ def to_payload(text: str | None) -> tuple[bytes, int]:
 
 _RANGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _MEDIA = T.StructType(
-    [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("codec", T.StringType()), ("duration", T.DoubleType()), ("samples", T.LongType()), ("keyframes", T.ArrayType(_RANGE)), ("problem", T.StringType()))]
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_sha256", T.StringType()),
+        T.StructField("tail_crc32", T.LongType()),
+        T.StructField("media_bytes", T.LongType()),
+        T.StructField("media_sha256", T.StringType()),
+        T.StructField("codec", T.StringType()),
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("samples", T.LongType()),
+        T.StructField("keyframes", T.ArrayType(_RANGE)),
+        T.StructField("problem", T.StringType()),
+    ]
 )
 
 
@@ -237,7 +326,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, data in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True):
             try:
                 found = [(key, i, t.handler, t.codec, t.duration, len(t.sizes), [{"start": a, "end": b} for a, b in t.keyframes], None) for i, t in enumerate(describe(data or b""))]
-            except (BadContainer, struct.error, IndexError) as e:
+                found = found or [(key, *[None] * 6, "no track")]
+            except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
                 found = [(key, None, None, None, None, None, None, str(e))]
             for row in found:
                 for name, v in zip(_TRACK.names, row, strict=True):
@@ -245,7 +335,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(out, _TRACK)
 
 
-_TRACK = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("track", T.IntegerType()), ("handler", T.StringType()), ("codec", T.StringType()), ("duration", T.DoubleType()), ("samples", T.LongType()), ("keyframes", T.ArrayType(_RANGE)), ("problem", T.StringType()))])
+_TRACK = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("track", T.IntegerType()),
+        T.StructField("handler", T.StringType()),
+        T.StructField("codec", T.StringType()),
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("samples", T.LongType()),
+        T.StructField("keyframes", T.ArrayType(_RANGE)),
+        T.StructField("problem", T.StringType()),
+    ]
+)
 
 
 def media_columns(files: DataFrame) -> DataFrame:

@@ -8,18 +8,23 @@ revisit it.
 
 Reading: archives (plain, or gzip members of any size) are walked record by record. A record counts if
 its version line, headers, Content-Length and closing lines are right and its payload has the digest it
-states. After a failed check the reader looks for the next version line, or in compressed data for the
-next gzip member that opens into one, goes on from there and logs the bytes between as a quarantined gap.
+states. After a failed check the reader looks for the next version line, also inside a member, goes on from
+there and logs the bytes between as a quarantined gap. What a damaged or cut member decompresses to before
+its fault is read like any other; the reader then looks for the next gzip member that opens into a version
+line. So every byte of the archive lies in a plain record, in a member or in a gap, and every decompressed
+byte of a member in a record or in a gap, whose offsets then count decompressed bytes of the member it
+names. A record of a damaged member that states no digest is given out as not verified.
 
 Defined cases: a null payload is empty; a null id writes no id header and reads as null; rows that share
 an id and a payload are all responses if they are the smallest; empty tables give empty archives and no rows; extra
-columns are ignored.
+columns are ignored. Archives are cut by bytes (TARGET_BYTES on average), as a reader's task holds one whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,6 +37,8 @@ from pyspark.sql import types as T
 from ._common import batch, map_rows, read, scratch_path, stash
 
 MIN_REVISIT = 100
+#: Payload bytes that an archive holds on average, far below the 2 GB that one row can.
+TARGET_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = b"\r\n\r\n"
@@ -94,13 +101,15 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([gzip_member(x.encode()) for x in rows[0].to_pylist()], pa.binary())], names=["value"])
 
 
-def write(pages: DataFrame, path: str, compress: bool = True, **columns) -> None:
+def write(pages: DataFrame, path: str, compress: bool = True, target_bytes: int = TARGET_BYTES, **columns) -> None:
     """Write archives below path, plain or with a gzip member per record."""
+    mean = pages.agg(F.avg(F.octet_length(columns.get("payload", "html")))).first()[0] or 0
     rows = records(pages, **columns)
     if compress:  # the sink writes a string's bytes as they are
         rows = map_rows(rows, _members, T.StructType([T.StructField("value", T.BinaryType())])).select(F.col("value").cast("string"))
     separator = EMPTY_MEMBER if compress else END
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", 50_000).text(path)
+    sink = rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1"))
+    sink.option("maxRecordsPerFile", max(1, int(target_bytes / (mean + 1000)))).text(path)
 
 
 # Reader
@@ -108,9 +117,12 @@ def write(pages: DataFrame, path: str, compress: bool = True, **columns) -> None
 
 @dataclass
 class Record:
+    """A record at ``offset`` of the archive, or of the member that holds it; verified by its digest or its member's checksum."""
+
     offset: int
     headers: dict[str, str]
     block: bytes = field(repr=False)
+    verified: bool = True
 
     @property
     def payload(self) -> bytes:
@@ -122,11 +134,12 @@ class Record:
 
 @dataclass
 class Gap:
-    """Quarantined bytes [offset, end) and the check that failed."""
+    """Quarantined bytes [offset, end) and the check that failed; of the archive, or of what the member at ``member`` holds."""
 
     offset: int
     end: int
     reason: str
+    member: int | None = None
 
 
 def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
@@ -152,13 +165,14 @@ def _parse(data: bytes, at: int) -> tuple[Record, int] | str:
         return "block does not end where its length says"
     record = Record(at, headers, data[begin:end])
     stated = headers.get("warc-payload-digest", "")
-    if stated.startswith("sha256:") and headers.get("warc-type") != "revisit" and hashlib.sha256(record.payload).hexdigest() != stated[7:].lower():
+    record.verified = stated.startswith("sha256:") and headers.get("warc-type") != "revisit"
+    if record.verified and hashlib.sha256(record.payload).hexdigest() != stated[7:].lower():
         return "payload digest differs"
     return record, end + len(END)
 
 
-def _plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
-    at = 0
+def _plain(data: bytes, at: int = 0) -> Iterator[Record | Gap]:
+    """Records and gaps of plain bytes from ``at`` to their end."""
     while at < len(data):
         got = _parse(data, at)
         if isinstance(got, str):
@@ -166,81 +180,125 @@ def _plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
             while nxt and isinstance(_parse(data, nxt.start()), str):  # a version line inside a damaged block
                 nxt = _VERSION.search(data, nxt.start() + 1)
             end = nxt.start() if nxt else len(data)
-            yield Gap(base + at, base + end, got)
+            yield Gap(at, end, got)
             at = end
         else:
-            got[0].offset += base
             yield got[0]
             at = got[1]
 
 
-def _member(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, str]:
-    """The content of the gzip member at ``at``, the place after it, and what is wrong with it."""
-    d, out = zlib.decompressobj(31), []
-    for i in range(at, len(data), step):  # in steps: what follows the member is copied by zlib
+def _content(data: bytes, at: int) -> int:
+    """Where the deflate stream of the gzip member at ``at`` begins; -1 if its header is not whole."""
+    flags, end = data[at + 3] if at + 10 <= len(data) else 0xFF, at + 10
+    if flags & 0xE0:
+        return -1
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for named in (8, 16):  # a file name, a comment
+        if flags & named:
+            end = data.find(b"\0", end) + 1 or len(data) + 1
+    end += 2 if flags & 2 else 0
+    return end if end <= len(data) else -1
+
+
+def _member(data: bytes, at: int, step: int = 1 << 15) -> tuple[bytes, int, int, str]:
+    """(content, stop, after, problem) of the gzip member at ``at``: bytes [stop, after) could not be used."""
+    at = _content(data, at)
+    if at < 0:
+        return b"", 0, 0, "gzip header is not whole"
+    d, out = zlib.decompressobj(-15), []
+    while at < len(data) and not d.eof:
+        before = d.copy()
         try:
-            out.append(d.decompress(data[i : i + step]))
+            out.append(d.decompress(data[at : at + step]))
         except zlib.error as e:
-            return b"", at, f"gzip: {e}"
-        if d.eof:
-            return b"".join(out), min(i + step, len(data)) - len(d.unused_data), ""
-    return b"", at, "gzip member is cut short"
+            if step == 1:
+                return b"".join(out), at, at, f"gzip: {e}"
+            d, step = before, max(1, step // 32)  # narrow the fault down to its byte; all before it counts
+            continue
+        at += min(step, len(data) - at)
+    inner = b"".join(out)
+    if not d.eof:
+        return inner, at, at, "gzip member is cut short"
+    stop = at - len(d.unused_data)
+    after = min(stop + 8, len(data))
+    if data[stop:after] == struct.pack("<II", zlib.crc32(inner), len(inner) & 0xFFFFFFFF):
+        return inner, after, after, ""
+    return inner, stop, after, "gzip member is cut short" if after < stop + 8 else "gzip: checksum differs"
+
+
+def _opens(data: bytes, at: int) -> bool:
+    """Whether a member starts at ``at`` that is empty or holds a version line."""
+    inner, _, _, problem = _member(data, at)
+    return bool(_VERSION.search(inner)) or not (inner or problem)
+
+
+def _next_start(data: bytes, at: int) -> int:
+    """The first place from ``at`` with a record that passes its checks or a member that opens into one; else the end."""
+    spots = []
+    line = _VERSION.search(data, at)
+    while line and isinstance(_parse(data, line.start()), str):
+        line = _VERSION.search(data, line.start() + 1)
+    if line:
+        spots.append(line.start())
+    z = data.find(GZIP, at)
+    while 0 <= z < min(spots, default=len(data)):
+        if _opens(data, z):
+            spots.append(z)
+        z = data.find(GZIP, z + 1)
+    return min(spots, default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Records and gaps of an archive in order; offsets are into data, within a gzip member that of the member."""
-    at, bad, reason = 0, None, ""
+    """Records and gaps of an archive in order; a record of a member has the member's offset."""
+    at = 0
     while at < len(data):
         if data[at : at + 3] == GZIP:
-            inner, after, problem = _member(data, at)
-            if not problem and not inner:  # the separator
-                if bad is not None:
-                    yield Gap(bad, at, reason)
-                    bad = None
+            inner, stop, after, problem = _member(data, at)
+            if problem and not _VERSION.search(inner):
+                after = _next_start(data, at + 1)
+                yield Gap(at, after, problem)
                 at = after
                 continue
-            if problem or not _VERSION.match(inner):
-                bad, reason = (at, problem or "member without a record") if bad is None else (bad, reason)
-                at = data.find(GZIP, at + 1)
-                at = len(data) if at < 0 else at
-                continue
-            if bad is not None:
-                yield Gap(bad, at, reason)
-                bad = None
-            size = after - at
             for x in _plain(inner):
                 if isinstance(x, Gap):
-                    yield Gap(at, at + size, x.reason)
+                    yield Gap(x.offset, x.end, x.reason, member=at)
                 else:
-                    x.offset = at
+                    x.offset, x.verified = at, x.verified or not problem
                     yield x
-            at += size
-        elif _VERSION.match(data, at) and bad is None:
-            stop = len(data)
-            for x in _plain(data[at:stop]):
-                x.offset += at
-                if isinstance(x, Gap):
-                    x.end += at
-                    inside = data.find(GZIP, x.offset, x.end)
-                    if inside >= 0:  # a compressed part may follow the plain one
-                        bad, reason, at = x.offset, x.reason, inside
-                        break
-                yield x
-            else:
-                at = stop
+            if problem:
+                after = _next_start(data, at + 1)  # not from stop: a fault may have led past the next member
+                if stop < after:
+                    yield Gap(stop, after, problem)
+            at = after
+            continue
+        got = _parse(data, at)
+        if isinstance(got, str):
+            after = _next_start(data, at + 1)
+            yield Gap(at, after, got)
+            at = after
         else:
-            bad, reason = (at, "neither a version line nor a gzip member") if bad is None else (bad, reason)
-            spots = [m.start() for m in [_VERSION.search(data, at + 1)] if m] + [i for i in [data.find(GZIP, at + 1)] if i >= 0]
-            at = min(spots, default=len(data))
-            if data[at : at + 3] != GZIP:
-                yield Gap(bad, at, reason)
-                bad = None
-    if bad is not None:
-        yield Gap(bad, len(data), reason)
+            got[0].verified = True
+            yield got[0]
+            at = got[1]
 
 
 _READ = T.StructType(
-    [T.StructField(n, t) for n, t in (("archive", T.StringType()), ("offset", T.LongType()), ("gap_end", T.LongType()), ("gap_reason", T.StringType()), ("record_type", T.StringType()), ("url", T.StringType()), ("page_id", T.LongType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()))]
+    [
+        T.StructField("archive", T.StringType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("gap_end", T.LongType()),
+        T.StructField("gap_member", T.LongType()),
+        T.StructField("gap_reason", T.StringType()),
+        T.StructField("verified", T.BooleanType()),
+        T.StructField("record_type", T.StringType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("page_id", T.LongType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_digest", T.StringType()),
+        T.StructField("refers_to", T.LongType()),
+        T.StructField("payload", T.BinaryType()),
+    ]
 )
 
 
@@ -248,6 +306,17 @@ def _number(x: str | None) -> int | None:
     return int(x) if x and re.fullmatch(r"-?\d{1,18}", x) else None
 
 
+def _row(path: str, x: Record | Gap, with_payload: bool) -> tuple:
+    if isinstance(x, Gap):
+        return (path, x.offset, x.end, x.member, x.reason, *[None] * 8)
+    h, payload = x.headers, x.payload
+    again = h.get("warc-type") == "revisit"
+    n = _number(h.get("x-payload-length")) if again else len(payload)
+    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if again else hashlib.sha256(payload).hexdigest()
+    names = (h.get("warc-type"), h.get("warc-target-uri"), _number(h.get("x-page-id")))
+    return (path, x.offset, None, None, None, x.verified, *names, n, digest, _number(h.get("x-refers-to-page")), payload if with_payload else None)
+
+
 def _walked(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -256,17 +325,9 @@ def _walked(with_payload: bool):
                 out: dict[str, list] = {n: [] for n in _READ.names}
                 size = 0
                 for x in salvage(data):
-                    if isinstance(x, Gap):
-                        row = (path, x.offset, x.end, x.reason, *[None] * 7)
-                    else:
-                        h, payload = x.headers, x.payload
-                        again = h.get("warc-type") == "revisit"
-                        n = _number(h.get("x-payload-length")) if again else len(payload)
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if again else hashlib.sha256(payload).hexdigest()
-                        row = (path, x.offset, None, None, h.get("warc-type"), h.get("warc-target-uri"), _number(h.get("x-page-id")), n, digest, _number(h.get("x-refers-to-page")), payload if with_payload else None)
-                        size += len(payload) if with_payload else 0
-                    for name, v in zip(_READ.names, row, strict=True):
+                    for name, v in zip(_READ.names, _row(path, x, with_payload), strict=True):
                         out[name].append(v)
+                    size += len(out["payload"][-1] or b"")
                     if len(out["archive"]) >= 1000 or size > 8 << 20:
                         yield batch(out, _READ)
                         out, size = {n: [] for n in _READ.names}, 0
@@ -278,14 +339,17 @@ def _walked(with_payload: bool):
 def scan(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps (gap_reason not null) of the archives below path."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return map_rows(files, _walked(with_payload), _READ)
+    return map_rows(files, _walked(with_payload), _READ, 1)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back; a gap in an archive just written is an error, not a lost page."""
     path = scratch_path(spark, "warc")
     write(read(spark, sf_dir, "pages"), path)
-    found = scan(spark, path, with_payload=False).where("gap_reason IS NULL")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = scan(spark, path, with_payload=False)
+    gap = F.concat(F.lit("gap in "), F.col("archive"), F.lit(": "), F.col("gap_reason"))
+    whole = F.when(F.col("gap_reason").isNotNull(), F.raise_error(gap).cast("string")).otherwise(F.col("record_type"))
+    return found.select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
 
 
 SQL = """
