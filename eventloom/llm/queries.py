@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_warc": warc.SQL,
+    "op2_host_rules": quality.SQL,
     "op5_line_dedup": linededup.SQL,
     "op8_mix_sources": mixing.SQL,
     "op10_minhash_near_dedup": neardup.SQL,

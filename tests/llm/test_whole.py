@@ -48,3 +48,18 @@ def test_dictionary_learns_from_whole_texts_of_all_documents(monkeypatch):
     toxicity._ordinary_dictionary(texts)
     share = [len(o & set(seen[1])) / len(o) for o in own]
     assert len(seen[1]) == 40_000 and min(share) > 0.6 and max(share) < 0.95
+
+
+def test_hosts_beyond_the_broadcast_bound(docs, monkeypatch):
+    key = lambda df: sorted(map(str, df.drop("host").collect()))
+    want = key(quality.judge_hosts(docs))
+    monkeypatch.setattr(quality, "MAX_HOSTS", 0)
+    assert key(quality.judge_hosts(docs)) == want
+
+
+def test_host_rules_on_repeated_rows_and_a_null_host(spark):
+    long = " ".join(words(5, 50_000))
+    rows = [(1, long, None, 1, 2), (1, long, None, 1, 2), (2, None, None, 1, 2), (3, "", "h", 1, 2), (None, "few words", "h", 1, 2)]
+    out = quality.judge_hosts(spark.createDataFrame(rows, "doc_id long, text string, source string, docs long, n_words long")).collect()
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["docs"], r["kept"]) for r in out)
+    assert got == [(0, 2, 2, False), (1, 50_000, 3, True), (1, 50_000, 3, True), (2, 0, 3, False), (3, 0, 2, False)]
