@@ -354,14 +354,3 @@ def test_log_bilinear(docs, empty):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out) == want
     assert {r["train_tokens"] for r in out} == {n}
     assert lmscore.score_texts(empty).count() == 0
-
-
-def test_probabilities_are_normalised_and_learnt():
-    r = np.random.default_rng(0)
-    n = np.zeros((lmscore.SYMBOLS, lmscore.SYMBOLS))
-    for a in range(20):
-        n[a, [(a * 7 + k) % 20 for k in range(3)]] = r.integers(50, 200, 3)
-    p = lmscore.LogBilinear().fit(n).log_probs(np.arange(lmscore.SYMBOLS))
-    assert np.allclose(np.exp(p).sum(axis=1), 1)
-    uni = np.log(n.sum(axis=0).clip(1e-9) / n.sum())
-    assert (n * p).sum() > (n * uni).sum() + 0.5 * n.sum()
