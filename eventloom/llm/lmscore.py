@@ -45,9 +45,9 @@ from pyspark.sql import types as T
 from ._common import batch, map_rows, read, stash
 
 FOLDS, HELD = 7, 2
-CONTEXT, DIM, SINGLES, COARSE = 3, 16, 128, 128
+CONTEXT, DIM, SINGLES, COARSE = 2, 16, 64, 128
 #: Noise samples in the first and the second step; tokens of a training step and of a scoring slice.
-NOISE, MEMBER_NOISE, STEP, SLICE = 32, 2, 2048, 1024
+NOISE, MEMBER_NOISE, STEP, SLICE = 16, 2, 2048, 1024
 RATE, FAN_IN, BLOCK = 0.03, 64, 512
 #: Steps on the coarse counts, and noise samples drawn for each context class in one of them.
 COARSE_STEPS, COARSE_NOISE = 300, 64
@@ -175,21 +175,52 @@ class Lexicon:
         i = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
         return i, (self.hashes[i] == h) if len(self.hashes) else np.zeros(len(h), bool)
 
-    def tables(self, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per code: its symbol as a context, its unit and its member row (-1 for none); code 0 is the end."""
-        i, there = self.place(np.array(codes.hashes, np.int64))
-        rank = np.where(there, self.rank[i], 0) if len(self.hashes) else np.zeros(len(codes.hashes), np.int64)
-        cls = np.array(codes.classes, np.int64) % self.classes
+    def tables(self, codes: Codes, first: int = 0) -> dict[str, np.ndarray]:
+        """Per code from ``first`` on; code 0 is the end. symbol: as a context; unit; member: its row, -1 for none;
+        there: whether its count is known here; count; seen: log10(count + 1), 0 if not known here; share: a rare
+        word's share of its class without that of counts that are not known here."""
+        h = np.array(codes.hashes[first:], np.int64)
+        i, there = self.place(h)
+        rank = np.where(there, self.rank[i], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+        count = np.where(there, self.counts[i], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+        cls = np.array(codes.classes[first:], np.int64) % self.classes
         symbol = np.where(rank > 0, rank, 1 + self.words + cls)
         member = np.where(rank > 0, self.member_row[rank], self.rare_rows()[cls])
         unit = np.where((rank > 0) & (member < 0), rank, 1 + self.singles + cls)
-        symbol[0], unit[0], member[0] = 0, 0, -1
-        return symbol, unit, member
+        if first == 0:
+            symbol[0], unit[0], member[0], there[0], count[0], rank[0] = 0, 0, -1, True, self.end, 1
+        seen = np.log10(count + 1.0) * there
+        share = np.where(rank > 0, 0.0, seen - np.log10(self.rare_room[cls]))
+        return {"symbol": symbol, "unit": unit, "member": member, "there": there, "count": count, "seen": seen, "share": share}
 
     def rare_rows(self) -> np.ndarray:
         return np.searchsorted(self.member_class, np.arange(self.classes), side="right") - 1
 
 
+class Tables:
+    """A lexicon's tables of a growing set of codes; starts anew when the words kept are too many."""
+
+    def __init__(self, lex: Lexicon):
+        self.lex = lex
+        self._anew()
+
+    def _anew(self) -> None:
+        self.codes, self.known, self.own = Codes(), 0, None
+
+    def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.known > CACHE:
+            self._anew()
+        out = [self.codes.tokens(t) for t in texts]
+        if len(self.codes.hashes) > self.known:
+            new = self.lex.tables(self.codes, self.known)
+            self.own = new if self.own is None else {k: np.concatenate([v, new[k]]) for k, v in self.own.items()}
+            self.known = len(self.codes.hashes)
+        return out
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.own[name]
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(h, cls, c, c_all, lag): a token's count in training documents and in all; with a lag, of a pair of coarse classes."""
     raw = map_rows(docs.select("doc_id", "text"), _counted, _COUNT)
@@ -267,12 +298,16 @@ def _order(rows: np.ndarray) -> np.ndarray:
     return np.argsort(rows.astype(np.uint16) if rows.size and rows.max() < 1 << 16 else rows, kind="stable")
 
 
-def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Row by row, the logarithm of one column's share of the exponentials; changes scores."""
-    scores -= scores.max(axis=1, keepdims=True)
+def _log_softmax_at(scores: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """Row by row, the logarithm of one column's share of the exponentials; changes scores.
+
+    Scores whose magnitude is bound to have finite exponentials need no shift by their maximum.
+    """
+    if not bound < 60:
+        scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(at)), at].astype(np.float64)
     np.exp(scores, out=scores)
-    return own - np.log(scores.sum(axis=1, dtype=np.float64))
+    return own - np.log((scores @ np.ones(scores.shape[1], np.float32)).astype(np.float64))
 
 
 def coarse_vectors(n: np.ndarray, dim: int = DIM, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,10 +370,15 @@ class LogBilinear:
     def log_probs(self, contexts: np.ndarray, unit: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of units and, where there is one, of members within their class."""
         found, p = np.empty(len(unit)), np.empty((len(unit), self.c.shape[1]), np.float32)
+        bounds = [float(np.sqrt((r * r).sum(axis=1).max()) * 1.01) for r in (self.r1, self.r2)]
+        widest = [float(np.abs(b).max()) for b in (self.b1, self.b2)]
+        longest = 0.0
         for a in range(0, len(unit), SLICE):  # small enough for a core's cache
             z = slice(a, a + SLICE)
             p[z] = self.predicted(contexts[z])
-            found[z] = _log_softmax_at(p[z] @ self.r1.T + self.b1, unit[z])
+            own = math.sqrt(float((p[z] * p[z]).sum(axis=1).max()))
+            longest = max(longest, own)
+            found[z] = _log_softmax_at(p[z] @ self.r1.T + self.b1, unit[z], own * bounds[0] + widest[0])
         within = np.flatnonzero(member >= 0)
         cls = self.lex.member_class[member[within]]
         order = _order(cls)
@@ -349,7 +389,7 @@ class LogBilinear:
             step = max(1, (SLICE << 8) // (rows.stop - rows.start))
             for a in range(0, len(run), step):
                 i = within[run[a : a + step]]
-                found[i] += _log_softmax_at(p[i] @ self.r2[rows].T + self.b2[rows], member[i] - rows.start)
+                found[i] += _log_softmax_at(p[i] @ self.r2[rows].T + self.b2[rows], member[i] - rows.start, longest * bounds[1] + widest[1])
         return found
 
 
@@ -360,6 +400,9 @@ class Trainer:
         self.m, self.rng = model, np.random.default_rng(seed)
         self.squares = {n: np.full(len(getattr(model, n)), 1e-3, np.float32) for n in model.ROWS}
         self.moved = {n: np.zeros(len(getattr(model, n)), np.float64) for n in model.ROWS}
+        self.shift1 = np.log(NOISE * model.p1).astype(np.float32)
+        self.shift2 = np.log(MEMBER_NOISE * model.p2).astype(np.float32)
+        self.cumulative1, self.class_start = np.cumsum(model.p1), np.arange(model.lex.classes)[:, None]
 
     def _add(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
         """A step along the gradients, those of one row summed."""
@@ -377,8 +420,8 @@ class Trainer:
         m = self.m
         q = [m.q[contexts[:, i]] for i in range(CONTEXT)]
         p = sum(x @ m.c[i] for i, x in enumerate(q))
-        noise = np.searchsorted(np.cumsum(m.p1), self.rng.random(NOISE)).clip(max=len(m.p1) - 1)
-        shift1 = np.log(NOISE * m.p1).astype(np.float32)
+        noise = np.searchsorted(self.cumulative1, self.rng.random(NOISE)).clip(max=len(m.p1) - 1)
+        shift1, shift2 = self.shift1, self.shift2
         r = m.r1[unit]
         gt = 1 - _sigmoid((p * r).sum(axis=1) + m.b1[unit] - shift1[unit])
         gn = -_sigmoid(p @ m.r1[noise].T + m.b1[noise] - shift1[noise])
@@ -391,12 +434,11 @@ class Trainer:
         rows2 = member[within]
         if len(within):
             cls, pw, r = m.lex.member_class[rows2], p[within], m.r2[rows2]
-            drawn = np.searchsorted(m.cumulative, np.arange(m.lex.classes)[:, None] + self.rng.random((m.lex.classes, MEMBER_NOISE)))
+            drawn = np.searchsorted(m.cumulative, self.class_start + self.rng.random((m.lex.classes, MEMBER_NOISE)))
             drawn = drawn.clip(max=len(m.p2) - 1)
-            shift2 = np.log(MEMBER_NOISE * m.p2).astype(np.float32)
             gm = 1 - _sigmoid((pw * r).sum(axis=1) + m.b2[rows2] - shift2[rows2])
             other = m.r2[drawn][cls]
-            gd = -_sigmoid(np.einsum("td,tkd->tk", pw, other) + (m.b2 - shift2)[drawn][cls])
+            gd = -_sigmoid(np.einsum("td,tkd->tk", pw, other) + (m.b2[drawn] - shift2[drawn])[cls])
             gp[within] += gm[:, None] * r + np.einsum("tk,tkd->td", gd, other)
             order = _order(cls)
             starts = np.append(0, np.flatnonzero(np.diff(cls[order])) + 1)
@@ -447,21 +489,19 @@ def fit(docs: DataFrame, lex: Lexicon, coarse: np.ndarray) -> LogBilinear:
     shared = docs.sparkSession.sparkContext.broadcast((lex, start))  # bounded by TOP and the root of the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (lex, start), codes = shared.value, Codes()
+        lex, start = shared.value
+        tables = Tables(lex)
         trainer = Trainer(LogBilinear(lex, start), TaskContext.get().partitionId())
         used = False
         for rows in batches:
-            texts = [codes.tokens(t) for i, t in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True) if not held_out(i)]
+            texts = [t for i, t in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True) if not held_out(i)]
             if not texts:
                 continue
             used = True
-            symbol, unit, member = lex.tables(codes)
-            flat, contexts = _steps(texts)
+            flat, contexts = _steps(tables.tokens(texts))
             for a in range(0, len(flat), STEP):
                 z = slice(a, a + STEP)
-                trainer.step(symbol[contexts[z]], unit[flat[z]], member[flat[z]])
-            if len(codes.hashes) > CACHE:
-                codes = Codes()
+                trainer.step(tables["symbol"][contexts[z]], tables["unit"][flat[z]], tables["member"][flat[z]])
         if used:
             found = list(_blocks(trainer))
             copy = TaskContext.get().partitionId()
@@ -495,31 +535,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        lex = model.lex
         row = TaskContext.get().partitionId() << 33
-        codes = Codes()
+        tables = Tables(model.lex)
         for rows in batches:
             out: dict[str, list] = {n: [] for n in _SCORED.names}
-            if len(codes.hashes) > CACHE:
-                codes = Codes()
-            ids, texts = rows[0].to_pylist(), [codes.tokens(t) for t in rows[1].to_pylist()]
-            symbol, unit, member = lex.tables(codes)
-            h = np.array(codes.hashes, np.int64)
-            i, there = lex.place(h)
-            there = there.copy()
-            there[0] = True
-            c = np.where(there, lex.counts[i] if len(lex.counts) else 0, 0)
-            c[0] = lex.end
-            seen = np.log10(c + 1.0) * there
-            cls = np.array(codes.classes, np.int64) % lex.classes
-            rare = np.isin(member, lex.rare_rows())
-            share = np.where(rare, seen - np.log10(lex.rare_room[cls]), 0.0)
-            flat, contexts = _steps(texts) if texts else (np.zeros(0, np.int64), np.zeros((0, CONTEXT), np.int64))
-            each = model.log_probs(symbol[contexts], unit[flat], member[flat]) / math.log(10) + share[flat]
+            ids, texts = rows[0].to_pylist(), tables.tokens(rows[1].to_pylist())
+            if not texts:
+                continue
+            flat, contexts = _steps(texts)
+            each = model.log_probs(tables["symbol"][contexts], tables["unit"][flat], tables["member"][flat]) / math.log(10) + tables["share"][flat]
+            there, count, seen, h = tables["there"], tables["count"], tables["seen"], tables.codes.hashes
             ends = np.cumsum([0, *map(len, texts)])
             for n, (doc_id, t) in enumerate(zip(ids, texts, strict=True)):
                 u, k = np.unique(t[~there[t]], return_counts=True)
-                values = (row, doc_id, held_out(doc_id), len(t), int((c[t] > 0).sum()), float(seen[t].sum()), float(each[ends[n] : ends[n + 1]].sum()), h[u], k.astype(np.int32))
+                own = float(each[ends[n] : ends[n + 1]].sum())
+                values = (row, doc_id, held_out(doc_id), len(t), int((count[t] > 0).sum()), float(seen[t].sum()), own, [h[x] for x in u], k.astype(np.int32))
                 for name, x in zip(_SCORED.names, values, strict=True):
                     out[name].append(x)
                 row += 1

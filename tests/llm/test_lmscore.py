@@ -57,7 +57,7 @@ def test_score_equals_a_plain_version(corpus, fitted):
     codes = lmscore.Codes()
     for _, t in rows:
         codes.tokens(t)
-    symbol, unit, member = lex.tables(codes)
+    symbol, unit, member = (lex.tables(codes)[k] for k in ("symbol", "unit", "member"))
     in_vocabulary = {w for w, k in codes.items() if 0 < symbol[k] <= lex.words}
     assert len(in_vocabulary) == lex.words <= math.isqrt(sum(c.values())) and min(c[w] for w in in_vocabulary) >= max(c[w] for w in codes if w not in in_vocabulary)
     known, rare = Counter(), Counter()
@@ -84,7 +84,7 @@ def test_score_equals_a_plain_version(corpus, fitted):
 
 def test_probabilities_sum_to_one(fitted):
     lex, model = fitted
-    contexts = np.array([[0, 0, 0], [1, 2, 0], [lex.words + 3, 1, 5]])
+    contexts = np.array([[0, 0, 0], [1, 2, 0], [lex.words + 3, 1, 5]])[:, : lmscore.CONTEXT]
     units = np.arange(len(model.p1))
     for context in contexts:
         first = np.exp(model.log_probs(np.tile(context, (len(units), 1)), units, np.full(len(units), -1)))
