@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..log import EventLog
 from .tree import AND, BUDGET, LOOP, SEQ, XOR, OutOfBudget, Replayer, Tree, numbered
-from .variants import case_variants
+from .variants import trace_counts
 
 STATES = 50_000
 DONE = ("done",)
@@ -196,7 +196,7 @@ def walked(counts: DataFrame, tree: Tree, repair: bool = True, budget: int = BUD
 
 def traversal_stats(log: EventLog, tree: Tree, repair: bool = True, states: int = STATES) -> tuple[DataFrame, DataFrame]:
     """(node, visits, cases) over counted cases, and one row of totals: cases and sequences by status, coverage, fitting ratio."""
-    w = walked(case_variants(log)[1], tree, repair, states=states).persist()
+    w = walked(trace_counts(log)[1], tree, repair, states=states).persist()
     nodes = w.select("n", F.explode("visits").alias("node", "k")).groupBy("node").agg(F.sum(F.col("k") * F.col("n")).alias("visits"), F.sum("n").alias("cases"))
     by = {s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)) for s in (FITTING, REPAIRED, UNEXPLAINED)}
     totals = w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *(c.alias(s) for s, c in by.items()), F.count("*").alias("sequences"), F.count_distinct("signature").alias("signatures"))

@@ -15,7 +15,7 @@ from ..log import EventLog
 from .alignment import FITTING, Runner, walked
 from .attributes import Attribute, encoded
 from .tree import XOR, Tree, numbered
-from .variants import case_variants
+from .variants import trace_counts
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ def branch_labels(log: EventLog, tree: Tree) -> DataFrame:
     kids = Runner(tree).kids
     spark = log.df.sparkSession
     forks = spark.createDataFrame([(i, b, k) for i, t in numbered(tree).items() if t.op == XOR for b, k in enumerate(kids[i])], "choice int, branch int, node int")
-    traces, counts = case_variants(log)
+    traces, counts = trace_counts(log)
     w = walked(counts, tree, repair=False).where(F.col("status") == FITTING)
     visits = w.select("trace", "visits", F.explode("visits").alias("node", "k"))
     taken = visits.join(F.broadcast(forks), "node")  # a row per branch of the model

@@ -14,10 +14,15 @@ from .variants import case_variants
 UNKNOWN, OTHER = "Unknown", "Other"
 
 
+def folded(c: Column) -> Column:
+    """Text without case: as Unicode's folding has it for sharp s, long s and final sigma too."""
+    return F.translate(F.lower(F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))), "ςſ", "σs")
+
+
 def enum_axis(cases: DataFrame, name: str, max_values: int = 12, ignore_case: bool = True) -> DataFrame:
     """(value, label, position) of an attribute's values: spellings merged, all but the commonest max_values - 1 in Other."""
     v = cases.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    v = v.withColumn("key", F.lower("value") if ignore_case else F.col("value"))
+    v = v.withColumn("key", folded(F.col("value")) if ignore_case else F.col("value"))
     spelled = Window.partitionBy("key").orderBy(F.desc("n"), "value")
     v = v.withColumn("label", F.first("value").over(spelled)).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
     v = v.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("total"), "label")))
@@ -52,6 +57,8 @@ def _number(x: float) -> str:
 def numeric_axis(cases: DataFrame, name: str, bins: int = 4, edges: list[float] | None = None) -> tuple[Column, Column]:
     """(label, position) columns."""
     own = edges or bin_edges(cases, name, bins)
+    if edges is not None and (len(edges) < 2 or list(edges) != sorted(set(edges))):
+        raise ValueError("edges must ascend")
     if len(own) < 2:
         one = F.when(F.col(name).isNotNull(), F.lit(_number(own[0]) if own else ""))
         return one, F.lit(1)
@@ -61,24 +68,85 @@ def numeric_axis(cases: DataFrame, name: str, bins: int = 4, edges: list[float]
     return F.get(F.array(*map(F.lit, labels)), i), i + 1
 
 
-def partition(log: EventLog, attributes: list[str], min_cases: int = 0, max_values: int = 12, bins: int = 4, unknown: bool = True) -> DataFrame:
-    """(case, axis1[, axis2], cell_cases): the cell of every case of a cell with at least min_cases."""
+def assign(
+    log: EventLog,
+    attributes: list[str],
+    max_values: int = 12,
+    bins: int = 4,
+    unknown: bool = True,
+    other: bool = True,
+    edges: dict[str, list[float]] | None = None,
+    include: dict[str, list[str]] | None = None,
+    ignore_case: bool = True,
+) -> DataFrame:
+    """(case, axis1[, axis2], pos1[, pos2]): the labels of every case; null where it is dropped.
+
+    other: whether rare values share a bucket or drop their cases; unknown: whether missing values have one;
+    edges: ranges of numeric attributes in place of quantiles; include: the labels that are kept of an axis.
+    """
+    if not 1 <= len(attributes) <= 2:
+        raise ValueError("one or two attributes partition a log")
     t = log.df.select("case").distinct().join(log.attrs, "case", "left")
     kinds = dict(t.dtypes)
     out = t
     for i, name in enumerate(attributes, 1):
+        if name not in kinds or name == "case":
+            raise ValueError(f"no attribute {name!r}")
         if name in log.numeric:
-            label, _ = numeric_axis(t, name, bins)
+            label, place = numeric_axis(t, name, bins, (edges or {}).get(name))
         elif kinds[name] == "boolean":
-            label = F.col(name).cast("string")
+            label, place = F.col(name).cast("string"), F.when(F.col(name), 1).otherwise(2)
         else:
-            values = enum_axis(t, name, max_values).select(F.col("value").alias(name), F.col("label").alias(f"_l{i}"))
-            out, label = out.join(values, name, "left"), F.col(f"_l{i}")  # a row per value: AQE broadcasts it if small
-        out = out.withColumn(f"axis{i}", F.coalesce(label, F.lit(UNKNOWN)) if unknown else label)
-    axes = [f"axis{i}" for i in range(1, len(attributes) + 1)]
-    out = out.select("case", *axes).where(reduce(Column.__and__, (F.col(a).isNotNull() for a in axes)))
-    cells = out.groupBy(*axes).agg(F.count("*").alias("cell_cases")).where(F.col("cell_cases") >= min_cases)
-    return out.join(cells, axes)
+            values = enum_axis(t, name, max_values, ignore_case)
+            values = values.select(F.col("value").alias(name), F.col("label").alias(f"_l{i}"), F.col("position").alias(f"_p{i}"))
+            out = out.join(values, name, "left")  # a row per value: AQE broadcasts it if small
+            label, place = F.col(f"_l{i}"), F.col(f"_p{i}")
+            label = label if other else F.when(label != OTHER, label)
+        missing = F.col(name).isNull() | (label.isNull() if name in log.numeric else F.lit(False))
+        label = F.when(missing & F.lit(unknown), UNKNOWN).otherwise(label)
+        if include and name in include:
+            same = folded if ignore_case else lambda c: c
+            wanted = [same(F.lit(str(x))) for x in include[name]]
+            label = F.when(same(label).isin(wanted), label)
+        out = out.withColumn(f"axis{i}", label).withColumn(f"pos{i}", F.when(F.col(f"axis{i}") == UNKNOWN, 1 << 30).otherwise(place).cast("int"))
+    names = range(1, len(attributes) + 1)
+    out = out.select("case", *(f"axis{i}" for i in names), *(f"pos{i}" for i in names))
+    for i in names if include else ():
+        if attributes[i - 1] in include and out.where(F.col(f"axis{i}").isNotNull()).isEmpty():
+            raise ValueError(f"no value of {attributes[i - 1]!r} is left")
+    return out
+
+
+def _axes(cells: DataFrame) -> list[str]:
+    return [c for c in cells.columns if c.startswith("axis")]
+
+
+def cells_of(assigned: DataFrame, min_cases: int = 0) -> DataFrame:
+    """(axes, positions, n, skipped), a row per cell in the order of its axes; skipped: under min_cases."""
+    axes = _axes(assigned)
+    places = [c for c in assigned.columns if c.startswith("pos")]
+    live = assigned.where(reduce(Column.__and__, (F.col(a).isNotNull() for a in axes)))
+    return live.groupBy(*axes).agg(*(F.min(p).alias(p) for p in places), F.count("*").alias("n")).withColumn("skipped", F.col("n") < min_cases)
+
+
+def dropped_cases(assigned: DataFrame) -> int:
+    return assigned.where(reduce(Column.__or__, (F.col(a).isNull() for a in _axes(assigned)))).count()
+
+
+def partition(log: EventLog, attributes: list[str], min_cases: int = 0, max_values: int = 12, bins: int = 4, unknown: bool = True, **options) -> DataFrame:
+    """(case, axis1[, axis2], cell_cases): the cell of every case of a cell with at least min_cases."""
+    out = assign(log, attributes, max_values, bins, unknown, **options)
+    cells = cells_of(out, min_cases).where("NOT skipped").withColumnRenamed("n", "cell_cases")
+    axes = _axes(out)
+    return out.select("case", *axes).join(cells.select(*axes, "cell_cases"), axes)
+
+
+def coverage_preview(assigned: DataFrame, min_cases: int = 0) -> DataFrame:
+    """Case counts by the first axis, a column per value of the second; without a second one, a column n."""
+    cells = cells_of(assigned, min_cases)
+    if "axis2" not in cells.columns:
+        return cells.select("axis1", "n", "skipped")
+    return cells.groupBy("axis1").pivot("axis2").agg(F.first("n"))
 
 
 def grid(cells: DataFrame) -> DataFrame:
@@ -151,3 +219,92 @@ def rank_attributes(log: EventLog, top_variants: int = 30) -> DataFrame:
         rows.append((name, round(nmi, 4), round(eta, 4), round((0.6 * nmi + 0.4 * eta) * (0.25 if flagged else 1.0), 4)))
     t.unpersist()
     return log.df.sparkSession.createDataFrame(rows, "attribute string, nmi double, eta double, score double").orderBy(F.desc("score"), "attribute")
+
+
+def cell_label(axes: list[str]) -> Column:
+    return F.concat_ws(" / ", *axes)
+
+
+def family_stats(log: EventLog, attributes: list[str], min_cases: int = 0, **options) -> dict[str, DataFrame]:
+    """The statistics of a family of logs: process, ends, activity, edges, choices, skipped, and one row of totals."""
+    from . import skeleton
+
+    assigned = assign(log, attributes, **options)
+    axes = _axes(assigned)
+    every = cells_of(assigned, min_cases).persist()
+    cells = assigned.select("case", *axes).join(every.where("NOT skipped").select(*axes, F.col("n").alias("cell_cases")), axes)
+    totals = every.agg(F.coalesce(F.sum(F.when(~F.col("skipped"), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum(F.when(F.col("skipped"), F.col("n"))), F.lit(0)).alias("skipped"))
+    dropped = dropped_cases(assigned)
+    return {
+        "process": process_frame(log, cells),
+        "ends": family_ends(log, cells),
+        "activity": family_activities(log, cells).withColumn("cell", cell_label(axes)),
+        "edges": family_edges(log, cells).withColumn("cell", cell_label(axes)),
+        "choices": skeleton.family_choices(log, cells)[0].withColumn("cell", cell_label(axes)),
+        "skipped": every.where("skipped").select(*axes, "n"),
+        "totals": totals.withColumn("dropped", F.lit(dropped)).withColumn("total", F.col("covered") + F.col("skipped") + F.col("dropped")),
+    }
+
+
+def family_ends(log: EventLog, cells: DataFrame) -> DataFrame:
+    """(axes, act, starts, ends): the activities that the cases of a cell start and end with."""
+    axes = _axes(cells)
+    order = F.struct("ts", "seq")
+    ends = log.df.groupBy("case").agg(F.min_by("act", order).alias("first"), F.max_by("act", order).alias("last")).join(cells.select("case", *axes), "case")
+    both = ends.select(*axes, F.explode(F.array(F.struct(F.col("first").alias("act"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct(F.col("last").alias("act"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("x"))
+    return both.groupBy(*axes, F.col("x.act").alias("act")).agg(F.sum("x.s").alias("starts"), F.sum("x.e").alias("ends"))
+
+
+def process_frame(log: EventLog, cells: DataFrame) -> DataFrame:
+    """A row per cell: cases and their share, events, activities, events per case, durations in seconds, rework, variants."""
+    axes = _axes(cells)
+    base = family_process(log, cells)
+    total = log.df.agg(F.count_distinct("case")).first()[0]
+    e = log.df.join(cells.select("case", *axes), "case")
+    sizes = e.groupBy(*axes, "act").agg(F.count("*").alias("n")).groupBy(*axes).agg(F.sum("n").alias("events"), F.count("*").alias("activities"))
+    traces = log.traces().join(cells.select("case", *axes), "case").select(*axes, "trace").distinct().groupBy(*axes).agg(F.count("*").alias("sequence_variants"))
+    out = base.join(sizes, axes).join(traces, axes)
+    return out.withColumn("coverage_pct", F.round(100.0 * F.col("cases") / total, 1)).withColumn("cell", cell_label(axes))
+
+
+def _matrix(stats: DataFrame, rows: list[str], metric: str) -> DataFrame:
+    return stats.groupBy(*rows).pivot("cell").agg(F.first(metric))
+
+
+def activity_frame(stats: dict[str, DataFrame], metric: str = "frequency") -> DataFrame:
+    """Activities by cells of one metric."""
+    return _matrix(stats["activity"], ["act"], metric).orderBy("act")
+
+
+def edge_order(edges: DataFrame) -> DataFrame:
+    """(a, b, total, place): the family's steps, the most frequent first, equals by their text."""
+    text = F.concat(F.col("a"), F.lit(" → "), F.col("b"))
+    total = edges.groupBy("a", "b").agg(F.sum("frequency").alias("total"))  # pairs of an alphabet
+    return total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), text)))
+
+
+def edge_frame(stats: dict[str, DataFrame], metric: str = "frequency") -> DataFrame:
+    """Steps by cells of one metric, in their family-wide order."""
+    return _matrix(stats["edges"], ["a", "b"], metric).join(edge_order(stats["edges"]), ["a", "b"]).orderBy("place").drop("total", "place")
+
+
+def choice_count_frame(stats: dict[str, DataFrame], choice: int) -> DataFrame:
+    """Cells by branches of one choice: how often each is taken, null where the cell never comes to it."""
+    return stats["choices"].where(F.col("choice") == choice).groupBy("cell").pivot("label").agg(F.first("n"))
+
+
+def choice_share_frame(stats: dict[str, DataFrame], choice: int) -> DataFrame:
+    """Cells by branches of one choice, in percent."""
+    own = stats["choices"].where(F.col("choice") == choice)
+    return own.groupBy("cell").pivot("label").agg(F.first(F.when(F.col("share").isNotNull(), 100.0 * F.col("share"))))
+
+
+def resource_params(log: EventLog, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(axes, act, performer), the commonest of a cell; and (axes, res) of a cell's resources that perform nothing there."""
+    axes = _axes(cells)
+    seen = log.df.where("res IS NOT NULL AND res <> ''").join(cells.select("case", *axes), "case")
+    counts = seen.groupBy(*axes, "act", "res").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*axes, "act").orderBy(F.desc("n"), "res")
+    performers = counts.withColumn("k", F.row_number().over(own)).where("k = 1").select(*axes, "act", F.col("res").alias("performer"))
+    extra = counts.select(*axes, "res").distinct().join(performers.withColumnRenamed("performer", "res"), [*axes, "res"], "left_anti")
+    return performers, extra

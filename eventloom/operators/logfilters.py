@@ -53,12 +53,36 @@ def case_times(log: EventLog) -> DataFrame:
     return log.df.groupBy("case").agg(F.min(epoch_s(start)).alias("start_s"), F.max(epoch_s(F.col("ts"))).alias("end_s"))
 
 
+def _first(t: DataFrame, k: int, value: str, ties: list[str]) -> Column:
+    """Whether a row is among the first k by value, then by ties. Needs a column ``tied``: the place among equal values.
+
+    The value at the border is found by two histograms, of buckets of values and of the values of one bucket.
+    """
+    bucket = F.signum(value) * F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1) * 64)
+    before, at = 0, None
+    for r in sorted(t.groupBy(bucket.alias("b")).count().collect()):  # 64 rows a doubling
+        if before + r["count"] >= k:
+            at = r["b"]
+            break
+        before += r["count"]
+    if at is None or k <= 0:
+        return F.lit(k > 0)
+    for r in t.where(bucket == at).groupBy(value).count().orderBy(value).toLocalIterator():
+        if before + r["count"] >= k:
+            return (F.col(value) < r[value]) | ((F.col(value) == r[value]) & (F.col("tied") <= k - before))
+        before += r["count"]
+    return F.lit(True)
+
+
 def duration_pct(log: EventLog, lo: float, hi: float) -> EventLog:
-    """Cases at positions floor(lo n / 100) to ceil(hi n / 100) in order of duration, then case."""
-    t = case_times(log)
+    """Cases at positions floor(lo n / 100) to ceil(hi n / 100) in order of duration, then of their first event's seq."""
+    t = case_times(log).join(log.df.groupBy("case").agg(F.min("seq").alias("first_seq")), "case")
+    t = t.select("case", "first_seq", (F.col("end_s") - F.col("start_s")).alias("seconds"))
     n = t.count()
-    place = F.row_number().over(Window.orderBy(F.col("end_s") - F.col("start_s"), "case")) - 1
-    return log.keep_cases(t.withColumn("p", place).where((F.col("p") >= math.floor(lo * n / 100)) & (F.col("p") < math.ceil(hi * n / 100))))
+    ties = ["first_seq", "case"]
+    t = t.withColumn("tied", F.row_number().over(Window.partitionBy("seconds").orderBy(*ties)))
+    upper, lower = _first(t, math.ceil(hi * n / 100), "seconds", ties), _first(t, math.floor(lo * n / 100), "seconds", ties)
+    return log.keep_cases(t.where(upper & ~lower))
 
 
 def time_window(log: EventLog, begin: str | None, end: str | None, contained: bool = False) -> EventLog:

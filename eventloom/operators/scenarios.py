@@ -18,7 +18,7 @@ from ..functions.conditions import holds
 from ..log import EventLog
 from .alignment import FITTING, Runner, walked
 from .tree import AND, LOOP, SEQ, XOR, Tree, numbered
-from .variants import case_variants
+from .variants import trace_counts
 
 START, END, ACT, OR_FORK, OR_JOIN, AND_FORK, AND_JOIN, STUB, DYNAMIC = "start", "end", "activity", "or_fork", "or_join", "and_fork", "and_join", "stub", "dynamic_stub"
 PATH = "path"
@@ -300,7 +300,7 @@ def scenarios(log: EventLog, tree: Tree, model: Model | None = None, values: Dat
     adds what data-driven guards read. Variants are ranked by cases, then by signature.
     """
     model = model or model_of(tree)
-    w = walked(case_variants(log)[1], tree, repair=False).where(F.col("status") == FITTING)
+    w = walked(trace_counts(log)[1], tree, repair=False).where(F.col("status") == FITTING)
     groups = w.groupBy("signature").agg(F.sum("n").alias("cases"), F.min_by("visits", F.struct(-F.col("n"), "trace")).alias("visits"))
     total = F.sum("cases").over(Window.partitionBy())
     ranked = groups.withColumn("share", F.col("cases") / total).withColumn("variant", F.concat(F.lit("v"), F.row_number().over(Window.orderBy(F.desc("cases"), "signature")).cast("string")))  # a row per variant

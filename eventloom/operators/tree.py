@@ -6,6 +6,8 @@ Trees are small and live on the driver; the work on the log runs over its distin
 from __future__ import annotations
 
 import json
+import math
+import time
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog
-from .variants import case_variants
+from .variants import trace_counts
 
 SEQ, XOR, AND, LOOP = "->", "X", "+", "*"
 NOFIT = "NOFIT"
@@ -64,6 +66,9 @@ def numbered(tree: Tree) -> dict[int, Tree]:
 # Replay
 
 
+Signature = str | tuple | None
+
+
 class OutOfBudget(Exception):
     pass
 
@@ -72,8 +77,8 @@ class Replayer:
     """Whether a trace fits, and how often each node is visited, by recursive descent over trace positions.
 
     A parse of node from position i gives its ends j with a visit count; the first found for each end is
-    kept. Parallel children split the trace by their alphabets if these are disjoint, else by trying every
-    assignment within the budget.
+    kept. Parallel children split the trace by their alphabets if these are disjoint, else every distinct way
+    to deal the shared events is tried; the budget alone bounds that.
     """
 
     def __init__(self, tree: Tree, budget: int = BUDGET):
@@ -93,13 +98,17 @@ class Replayer:
         self.alpha = {i: t.alphabet() for i, t in self.nodes.items()}
 
     def replay(self, trace: tuple[str, ...]) -> tuple[str, Counter] | None:
-        """(signature, visits by node) or None. Raises OutOfBudget."""
+        """(signature as JSON text, visits by node) or None. Raises OutOfBudget."""
         self.left = self.budget
-        found = self._ends(0, trace, 0, {})
-        return found.get(len(trace))
+        found = self._ends(0, trace, 0, {}).get(len(trace))
+        return found and (json.dumps(found[0], ensure_ascii=False), found[1])
 
-    def _ends(self, i: int, trace: tuple[str, ...], at: int, memo: dict) -> dict[int, tuple[str, Counter]]:
-        """End position -> (signature, visits) of node i started at ``at``; longest ends first."""
+    def _ends(self, i: int, trace: tuple[str, ...], at: int, memo: dict) -> dict[int, tuple[Signature, Counter]]:
+        """End position -> (signature, visits) of node i started at ``at``; longest ends first.
+
+        Signatures: a label, None for a silent step, ("->", ...), ("X", node, branch, inner), ("+", ...) and
+        ("*", node, runs of the body up to 2, first run).
+        """
         key = (i, at)
         if key in memo:
             return memo[key]
@@ -111,7 +120,7 @@ class Replayer:
         me = Counter({i: 1})
         if t.op is None:
             if t.label is None:
-                out[at] = ("", me)
+                out[at] = (None, me)
             elif at < len(trace) and trace[at] == t.label:
                 out[at + 1] = (t.label, me)
         elif t.op == SEQ:
@@ -123,12 +132,12 @@ class Replayer:
                         if e not in nxt:
                             nxt[e] = ((*part[j][0], sig), part[j][1] + visits)
                 part = nxt
-            out.update({e: ("(" + " ".join(s for s in sigs if s) + ")", v) for e, (sigs, v) in part.items()})
+            out.update({e: ((SEQ, *(s for s in sigs if s is not None)), v) for e, (sigs, v) in part.items()})
         elif t.op == XOR:
             for b, k in enumerate(kids):
                 for e, (sig, visits) in self._ends(k, trace, at, memo).items():
                     if e not in out:
-                        out[e] = (f"X{i}.{b}[{sig}]", me + visits)
+                        out[e] = ((XOR, i, b, sig), me + visits)
         elif t.op == AND:
             inside = self.alpha[i]
             stop = at
@@ -137,7 +146,7 @@ class Replayer:
             for e in range(stop, at - 1, -1):
                 got = self._parallel(kids, trace[at:e])
                 if got:
-                    out[e] = ("+{" + " | ".join(s for s, _ in got) + "}", sum((v for _, v in got), me))
+                    out[e] = ((AND, *(s for s, _ in got)), sum((v for _, v in got), me))
         else:  # loop: do (redo do)*
             seen = {e: (1, sig, me + v) for e, (sig, v) in self._ends(kids[0], trace, at, memo).items()}
             queue = list(seen)
@@ -150,28 +159,34 @@ class Replayer:
                             if f > j and f not in seen:
                                 seen[f] = (n + 1, sig, visits + rv + dv)
                                 queue.append(f)
-            out.update({e: (f"*{i}:{min(n, 2)}[{sig}]", v) for e, (n, sig, v) in seen.items()})
+            out.update({e: ((LOOP, i, min(n, 2), sig), v) for e, (n, sig, v) in seen.items()})
         memo[key] = out = dict(sorted(out.items(), reverse=True))
         return out
 
-    def _parallel(self, kids: list[int], part: tuple[str, ...]) -> list[tuple[str, Counter]] | None:
+    def _parallel(self, kids: list[int], part: tuple[str, ...]) -> list[tuple[Signature, Counter]] | None:
         if not kids:
             return [] if not part else None
         first, rest = kids[0], kids[1:]
         others = frozenset().union(*(self.alpha[k] for k in rest)) if rest else frozenset()
         own = self.alpha[first]
-        shared = [n for n, a in enumerate(part) if a in own and a in others]
-        if any(a not in own and a not in others for a in part):
-            return None
-        for mask in range(1 << min(len(shared), 16)):
-            self.left -= 1
+        splits: dict[tuple[tuple, tuple], None] = {((), ()): None}  # distinct ways to deal the events, in a fixed order
+        for a in part:
+            if a not in own and a not in others:
+                return None
+            dealt: dict[tuple[tuple, tuple], None] = {}
+            for mine, other in splits:
+                self.left -= 1
+                if a in own:
+                    dealt[(*mine, a), other] = None
+                if a in others:
+                    dealt[mine, (*other, a)] = None
             if self.left < 0:
                 raise OutOfBudget
-            moved = {shared[n] for n in range(len(shared)) if mask >> n & 1}
-            mine = tuple(a for n, a in enumerate(part) if a in own and n not in moved)
+            splits = dealt
+        for mine, other in splits:
             got = self._ends(first, mine, 0, {}).get(len(mine))
             if got:
-                tail = self._parallel(rest, tuple(a for n, a in enumerate(part) if a not in own or n in moved))
+                tail = self._parallel(rest, other)
                 if tail is not None:
                     return [got, *tail]
         return None
@@ -195,12 +210,81 @@ def parses(counts: DataFrame, tree: Tree, budget: int = BUDGET) -> DataFrame:
                 rows.append((list(trace), n, got[0] if got else NOFIT, dict(got[1]) if got else {}, over))
             yield pd.DataFrame(rows, columns=["trace", "n", "signature", "visits", "exhausted"])
 
-    return counts.select("trace", F.col("n").cast("long").alias("n")).mapInPandas(run, PARSE_SCHEMA)
+    rows = counts.select("trace", F.col("n").cast("long").alias("n"))
+    tasks = 4 * counts.sparkSession.sparkContext.defaultParallelism  # small rows, costly work: dealt by hand
+    return rows.repartition(tasks, "trace").mapInPandas(run, PARSE_SCHEMA)
+
+
+def order_text(signature: str, tree: Tree) -> str:
+    """A signature as a partial order: ``X -> (Y || Z)``, a chosen branch in brackets, a loop's body with ^1 or ^>=2."""
+    nodes = numbered(tree)
+    short = {SEQ: "seq", XOR: "xor", AND: "par", LOOP: "loop"}
+
+    def go(s) -> str | None:
+        if s is None or isinstance(s, str):
+            return s
+        if s[0] == SEQ:
+            return " -> ".join(x for x in map(go, s[1:]) if x is not None) or None
+        if s[0] == XOR:
+            return f"[{go(s[3]) or 'tau'}]"
+        if s[0] == LOOP:
+            body = nodes[s[1]].children[0]
+            return (short[body.op] if body.op else body.label or "tau") + ("^1" if s[2] < 2 else "^>=2")
+        parts = [(x, go(x)) for x in s[1:]]
+        parts = [(x, t) for x, t in parts if t is not None]
+        if len(parts) == 1 and isinstance(parts[0][0], str):
+            return parts[0][1]
+        return "(" + " || ".join(t for _, t in parts) + ")" if parts else None
+
+    return go(json.loads(signature)) or "tau"
+
+
+def orders(signature: str) -> int:
+    """How many total orders a signature's partial order has; a loop counts as one step."""
+
+    def size(s) -> int:
+        if s is None or isinstance(s, str):
+            return int(s is not None)
+        return 1 if s[0] == LOOP else size(s[3]) if s[0] == XOR else sum(map(size, s[1:]))
+
+    def go(s) -> int:
+        if s is None or isinstance(s, str) or s[0] == LOOP:
+            return 1
+        if s[0] == XOR:
+            return go(s[3])
+        out = math.prod(map(go, s[1:]))
+        if s[0] == AND:
+            sizes = [size(x) for x in s[1:]]
+            out *= math.factorial(sum(sizes))
+            for n in sizes:
+                out //= math.factorial(n)
+        return out
+
+    return go(json.loads(signature))
+
+
+def taken_choices(signature: str) -> dict[int, int]:
+    """The branch of every choice that a signature takes outside loops."""
+    out: dict[int, int] = {}
+
+    def go(s) -> None:
+        if isinstance(s, list) and s[0] == XOR:
+            out[s[1]] = s[2]
+            go(s[3])
+        elif isinstance(s, list) and s[0] != LOOP:
+            for x in s[1:]:
+                go(x)
+
+    go(json.loads(signature))
+    return out
 
 
 def cluster(log: EventLog, tree: Tree) -> tuple[DataFrame, DataFrame]:
-    """(variant, signature, cases, sequences, rank) and (case, variant); traces that do not fit are ``noise``."""
-    traces, v = case_variants(log)
+    """(variant, signature, cases, sequences, rank) and (case, variant); traces that do not fit are ``noise``.
+
+    The traces are replayed once: their parses are kept for both tables.
+    """
+    traces, v = trace_counts(log)
     p = parses(v, tree).persist()
     groups = p.where(F.col("signature") != NOFIT).groupBy("signature").agg(F.sum("n").alias("cases"), F.count("*").alias("sequences"))
     groups = groups.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cases"), "signature"))).withColumn("variant", F.concat(F.lit("v"), F.col("rank").cast("string")))
@@ -208,9 +292,51 @@ def cluster(log: EventLog, tree: Tree) -> tuple[DataFrame, DataFrame]:
     return groups, traces.join(named, "trace").select("case", F.coalesce("variant", F.lit("noise")).alias("variant"))
 
 
+def fitness(groups: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row of a clustering: cases, fitting, variants, sequences, fitness and compression (variants to sequences)."""
+    one = groups.agg(F.coalesce(F.sum("cases"), F.lit(0)).alias("fitting"), F.count("*").alias("variants"), F.coalesce(F.sum("sequences"), F.lit(0)).alias("sequences"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    return one.withColumn("cases", F.lit(cases.count())).withColumn("fitness", share("fitting", "cases")).withColumn("compression", share("variants", "sequences"))
+
+
+def named_variants(groups: DataFrame, names: list[str]) -> list[str]:
+    """Variant ids that names stand for: ids, or scenario names that begin with one; raises for any other."""
+    if not names:
+        raise ValueError("no variants are named")
+    wanted = {n: n.split("_", 1)[0] for n in map(str, names)}
+    have = {r["variant"] for r in groups.where(F.col("variant").isin([*wanted, *wanted.values()])).select("variant").collect()}
+    if unknown := [n for n, v in wanted.items() if n not in have and v not in have]:
+        raise ValueError(f"no variants of this clustering: {unknown}")
+    return list(dict.fromkeys(n if n in have else v for n, v in wanted.items()))
+
+
+def keep_variants(log: EventLog, clustering: tuple[DataFrame, DataFrame], names: list[str]) -> EventLog:
+    """The log's cases of the named behavioural variants; cases that fit no variant go."""
+    groups, cases = clustering
+    return log.keep_cases(cases.where(F.col("variant").isin(named_variants(groups, names))))
+
+
+def replay_estimate(log: EventLog, tree: Tree, probe: int = 50, box: float = 1.0) -> dict:
+    """Seconds a replay of the whole log would take, from a probe of distinct traces chosen by hash."""
+    _, counts = trace_counts(log)
+    total = counts.count()
+    some = [tuple(r["trace"]) for r in counts.orderBy(F.xxhash64("trace"), "trace").limit(probe).collect()]
+    replayer, began, done = Replayer(tree), time.perf_counter(), 0
+    for trace in some:
+        try:
+            replayer.replay(trace)
+        except OutOfBudget:
+            pass
+        done += 1
+        if time.perf_counter() - began > box:
+            break
+    each = (time.perf_counter() - began) / max(1, done)
+    return {"sequences": total, "probed": done, "seconds": each * total, "exact": done == total}
+
+
 def traversal(log: EventLog, tree: Tree) -> DataFrame:
     """(node, visits, cases): how often, and in how many fitting cases, each node is walked."""
-    _, v = case_variants(log)
+    _, v = trace_counts(log)
     return parses(v, tree).where(F.col("signature") != NOFIT).select("n", F.explode("visits").alias("node", "k")).groupBy("node").agg(F.sum(F.col("k") * F.col("n")).alias("visits"), F.sum("n").alias("cases"))
 
 
@@ -253,7 +379,7 @@ def prune(tree: Tree, cases: dict[int, int], min_cases: int = 0, min_share: floa
 
 def pruned_cases(log: EventLog, tree: Tree, removed: list[int]) -> DataFrame:
     """Cases that walked a removed node."""
-    traces, v = case_variants(log)
+    traces, v = trace_counts(log)
     hit = parses(v, tree).where(F.arrays_overlap(F.map_keys("visits"), F.array(*map(F.lit, removed)))) if removed else parses(v, tree).limit(0)
     return traces.join(hit.select("trace"), "trace", "left_semi").select("case")
 
@@ -263,7 +389,7 @@ def pruned_cases(log: EventLog, tree: Tree, removed: list[int]) -> DataFrame:
 
 def discover(log: EventLog, noise: float = 0.0) -> Tree:
     """The tree that recursive cuts find; traces are grouped in Spark, so the driver sees distinct ones only."""
-    _, v = case_variants(log)
+    _, v = trace_counts(log)
     return inductive({tuple(r["trace"]): r["n"] for r in v.select("trace", "n").toLocalIterator()}, noise)
 
 

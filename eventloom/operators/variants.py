@@ -8,14 +8,35 @@ from pyspark.sql import functions as F
 from ..log import EventLog
 
 
-def case_variants(log: EventLog) -> tuple[DataFrame, DataFrame]:
-    """(case, trace) and (trace, n, rank), ranks by descending count, then by trace.
+#: Activities at a trace's start by which equally frequent variants are told apart before they are ranked.
+PREFIX = 3
 
-    The rank window sees one row per distinct trace.
-    """
+
+def trace_counts(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """(case, trace) and (trace, n), without ranks."""
     traces = log.traces()
-    counts = traces.groupBy("trace").agg(F.count("*").alias("n"))
-    return traces, counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "trace")))
+    return traces, traces.groupBy("trace").agg(F.count("*").alias("n"))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """(trace, n, rank, covered): ranks by descending count, then by trace; covered: cases of the variants up to it.
+
+    Offsets come from a histogram by count and first activities; only variants that share both are numbered
+    by a window of their own, so no task sees all distinct traces.
+    """
+    keys = [F.col("n"), F.slice("trace", 1, PREFIX).alias("prefix")]
+    place = Window.orderBy(F.desc("n"), "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.groupBy(*keys).agg(F.count("*").alias("m"))
+    before = before.select("n", "prefix", F.coalesce(F.sum("m").over(place), F.lit(0)).alias("ranks"), F.coalesce(F.sum(F.col("m") * F.col("n")).over(place), F.lit(0)).alias("cases"))
+    own = F.row_number().over(Window.partitionBy("n", "prefix").orderBy("trace"))
+    t = counts.withColumn("prefix", F.slice("trace", 1, PREFIX)).withColumn("own", own).join(before, ["n", "prefix"])
+    return t.select("trace", "n", (F.col("ranks") + F.col("own")).cast("int").alias("rank"), (F.col("cases") + F.col("own") * F.col("n")).alias("covered"))
+
+
+def case_variants(log: EventLog) -> tuple[DataFrame, DataFrame]:
+    """(case, trace) and (trace, n, rank), ranks by descending count, then by trace."""
+    traces, counts = trace_counts(log)
+    return traces, ranked(counts).drop("covered")
 
 
 def variants(log: EventLog) -> DataFrame:
@@ -26,9 +47,9 @@ def variants(log: EventLog) -> DataFrame:
 
 def coverage(log: EventLog) -> DataFrame:
     """(rank, n, cumulative): the percentage of cases that the variants up to a rank cover, to a tenth."""
-    _, v = case_variants(log)
-    run, everything = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return v.select("rank", "n", F.round(100.0 * F.sum("n").over(run) / F.sum("n").over(everything), 1).alias("cumulative"))
+    _, counts = trace_counts(log)
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return ranked(counts).select("rank", "n", F.round(100.0 * F.col("covered") / F.lit(total), 1).alias("cumulative"))
 
 
 def profile(log: EventLog) -> DataFrame:

@@ -13,6 +13,12 @@ from .metrics import CATALOG, DAY, PERCENT, SERIES, Cases, result_type, series
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 HISTOGRAM_BINS, INTEGER_SPAN, MAX_OUTLIERS = 20, 40, 100
+#: Quantile bins of a numeric axis; from how many whole levels on they are used.
+NUMERIC_BINS, DISCRETE_LEVELS = 4, 10
+#: Bars of a categorical axis, slices of a pie with the rest in one.
+MAX_BARS, MAX_SLICES = 24, 8
+TIME_AXES = ("year", "quarter", "month", "weekday")
+STATES = ("met", "risk", "missed")
 
 
 def start_date() -> Column:
@@ -33,10 +39,80 @@ def axis(cases: Cases, name: str) -> Column:
     if name == "variant":
         return F.concat_ws(" → ", cases.variant())
     if name.startswith("attr:"):
-        return F.col(f"`{name[5:]}`").cast("string")
+        return attribute_label(cases.log, name[5:])
     raise ValueError(f"unknown axis {name!r}")
 
 
+def number_text(x: float) -> str:
+    """A level: whole numbers plain, others to four significant figures."""
+    return f"{x:.0f}" if float(x).is_integer() else f"{x:.4g}"
+
+
+def numeric_bins(log: EventLog, name: str, bins: int = NUMERIC_BINS) -> tuple[list[float], list[str]]:
+    """Edges and labels of a numeric attribute: a bin per level of few whole numbers, else quantiles without repeats."""
+    c = F.col(f"`{name}`").cast("double")
+    own = log.attrs.join(log.df.select("case").distinct(), "case", "left_semi")
+    known = own.where(c.isNotNull() & ~F.isnan(c)).select(c.alias("v"))
+    levels = sorted(r["v"] for r in known.distinct().limit(DISCRETE_LEVELS).collect())  # enough to tell few from many
+    if not levels:
+        return [], []
+    if len(levels) < DISCRETE_LEVELS and all(v.is_integer() for v in levels):
+        return [*levels, levels[-1]], [number_text(v) for v in levels]
+    quantiles = known.agg(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
+    edges = sorted(set(quantiles))
+    edges = edges if len(edges) > 1 else [edges[0], edges[0] + 1.0]
+    return edges, [f"{number_text(a)}–{number_text(b)}" for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def attribute_label(log: EventLog, name: str) -> Column:
+    """A case's label on an attribute's axis: its value, or the bin [lo, hi) of a number, the last closed; null outside."""
+    if name not in log.numeric:
+        return F.col(f"`{name}`").cast("string")
+    edges, labels = numeric_bins(log, name)
+    c = F.col(f"`{name}`").cast("double")
+    if not edges:
+        return F.lit(None).cast("string")
+    inner = F.array(*(F.lit(float(e)) for e in edges[1:-1])) if len(edges) > 2 else F.expr("cast(array() as array<double>)")
+    place = F.size(F.filter(inner, lambda e: e <= c))
+    return F.when(c.between(edges[0], edges[-1]), F.get(F.array(*map(F.lit, labels)), place))
+
+
+def axes(log: EventLog) -> list[str]:
+    """The axes that a log offers."""
+    own = [f"attr:{c}" for c in log.attrs.columns if c != "case"] if log.attrs is not None else []
+    return ["year", "quarter", "month", "weekday", *(["resource"] if "res" in log.df.columns else []), "activity", "variant", *own]
+
+
+def date_span(log: EventLog) -> DataFrame:
+    """One row: the days of the first and the last case start."""
+    day = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd")
+    starts = log.events().groupBy("case").agg(F.min("start_s").alias("start_s")).agg(F.min("start_s").alias("a"), F.max("start_s").alias("b"))
+    return starts.select(day("a").alias("first"), day("b").alias("last"))
+
+
+def common_endpoints(log: EventLog) -> DataFrame:
+    """One row: the activities that most cases start and end with, the first by name of equals."""
+    order = F.struct("ts", "seq")
+    ends = log.df.groupBy("case").agg(F.min_by("act", order).alias("a"), F.max_by("act", order).alias("b"))
+    most = lambda c, name: ends.groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c).limit(1).select(F.col(c).alias(name))
+    return most("a", "first").join(most("b", "last"), F.lit(True))  # one row each
+
+
+def unbound(log: EventLog, specs: list[dict]) -> list[str]:
+    """What widget specs and their filters name that the log does not have: activities, attributes, axes."""
+    acts = {r["act"] for r in log.df.select("act").distinct().collect()}  # an alphabet
+    have, out = set(axes(log)), []
+    for spec in specs:
+        named = [v for k, v in spec.get("params", {}).items() if k in ("activity", "from", "to")]
+        for f in spec.get("filters", ()):
+            named += [f["value"]] if f["field"] == "contains" else []
+            if f["field"].startswith("attr:") and f["field"] not in have:
+                out.append(f["field"])
+        out += [a for a in named if a not in acts]
+        out += [a for a in spec.get("segment", {}).values() if a and a not in have]
+    return list(dict.fromkeys(out))
+
+
 def _period(text: str) -> Column:
     """The first second after the period that text (2012, 2012-12 or 2012-12-05) names."""
     y, m, d = (text.split("-") + [None, None])[:3]
@@ -237,3 +313,60 @@ def scorecard(log: EventLog, widgets: list[dict], filters: tuple[dict, ...] = ()
             one = compute_widget(log, {**w, "segment": {}}, filters)
             rows.append(one.select(F.lit(w["title"]).alias("title"), "value", F.lit(goal_text(w["target"], kind)).alias("goal"), "state"))
     return reduce(DataFrame.unionByName, rows)
+
+
+def worst_state(states: Column) -> Column:
+    """The worst of a group's states: missed before risk before met; null without one."""
+    order = F.create_map(*(F.lit(x) for k, name in enumerate(STATES) for x in (name, k)))
+    return F.element_at(F.array(*map(F.lit, STATES)), (F.max(F.element_at(order, states)) + 1).cast("int"))
+
+
+def grid_cells(out: DataFrame) -> DataFrame:
+    """A two-axis widget's cells, those without cases too: every live row with every live column."""
+    cells = out.where("r IS NOT NULL AND c IS NOT NULL")
+    cols = cells.agg(F.sort_array(F.collect_set("c")).alias("cols"))  # the labels of an axis
+    spine = cells.select("r").distinct().join(F.broadcast(cols), F.lit(True)).select("r", F.explode("cols").alias("c"))
+    return spine.join(cells, ["r", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def weekday_cells(out: DataFrame, key: str = "r") -> DataFrame:
+    """A weekday axis with all seven days, those without cases too."""
+    days = out.sparkSession.createDataFrame([(d,) for d in WEEKDAYS], f"{key} string")
+    return days.join(out, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def bars(out: DataFrame, axis_name: str, key: str = "r", most: int = MAX_BARS) -> DataFrame:
+    """The bars that are drawn: the largest of a categorical axis, all of a time axis."""
+    live = out.where(F.col(key).isNotNull() & F.col("value").isNotNull())
+    return live if axis_name in TIME_AXES else live.orderBy(F.desc("value"), key).limit(most)
+
+
+def slices(out: DataFrame, key: str = "r", most: int = MAX_SLICES) -> DataFrame:
+    """(label, value) of a pie: positive values, the largest of them, and Other for the rest if there are too many."""
+    live = out.where(F.col(key).isNotNull() & (F.col("value") > 0)).select(F.col(key).alias("label"), "value")
+    top = live.orderBy(F.desc("value"), "label").limit(most).collect()
+    if len(top) < most or live.count() == most:
+        return live
+    kept = [r["label"] for r in top[: most - 1]]
+    return live.groupBy(F.when(F.col("label").isin(kept), F.col("label")).otherwise("Other").alias("label")).agg(F.sum("value").alias("value"))
+
+
+def viz_problem(spec: dict) -> str | None:
+    """Why a widget cannot be drawn as its spec asks; None if it can."""
+    viz, used = spec.get("viz", "kpi"), [a for a in spec.get("segment", {}).values() if a]
+    over_time = spec["metric"] in SERIES
+    if viz == "kpi":
+        return "a figure has no axis" if used else None
+    if viz == "gauge":
+        return "a gauge has no axis" if used else None if spec.get("target") else "a gauge needs a target"
+    if viz in ("hist", "box"):
+        return "a distribution has no axis" if used else "a series has no distribution" if over_time else None
+    if viz == "bar":
+        return None if len(used) == 1 else "bars need one axis"
+    if viz == "line":
+        return None if over_time or len(used) == 1 and used[0] in TIME_AXES else "a line needs one time axis or a series"
+    if viz == "pie":
+        return "a pie needs one axis" if len(used) != 1 else None if spec.get("agg") == "sum" else "a pie needs sums"
+    if viz == "table":
+        return None if len(used) == 2 else "a table needs two axes"
+    return f"unknown chart {viz!r}"

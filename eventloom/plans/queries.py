@@ -200,7 +200,7 @@ def _filtered(name: str, log: str, options: dict, sql: str) -> None:
 _filtered("activity_rank_filter", "se", {"activity_ranks": (1, 2)}, ", ar AS (SELECT a AS x, row_number() OVER (ORDER BY count(*) DESC, a) AS rank FROM ev GROUP BY a), kept AS (SELECT ev.* FROM ev JOIN ar ON x = a WHERE rank BETWEEN 1 AND 2)")
 _filtered("activity_cap_filter", "se", {"activity_cap": [A, B, "purchase"], "exclude_activities": [B]}, f", kept AS (SELECT * FROM ev WHERE a IN ('{A}', 'purchase'))")
 _filtered("variant_rank_filter", "se", {"variant_ranks": (1, 3)}, _VAR + ", kept AS (SELECT ev.* FROM ev WHERE c IN (SELECT cs.c FROM cs JOIN va ON va.trace = cs.trace WHERE rank <= 3))")
-_filtered("duration_pct_filter", "se", {"duration_pct": (10, 90)}, ", dp AS (SELECT c, row_number() OVER (ORDER BY e - s, c) - 1 AS p, count(*) OVER () AS t FROM cs), kept AS (SELECT * FROM ev WHERE c IN (SELECT c FROM dp WHERE p >= floor(10 * t / 100.0) AND p < ceil(90 * t / 100.0)))")
+_filtered("duration_pct_filter", "se", {"duration_pct": (10, 90)}, ", dp AS (SELECT c, row_number() OVER (ORDER BY e - s, q, c) - 1 AS p, count(*) OVER () AS t FROM cs JOIN (SELECT c, min(seq) AS q FROM ev GROUP BY c) USING (c)), kept AS (SELECT * FROM ev WHERE c IN (SELECT c FROM dp WHERE p >= floor(10 * t / 100.0) AND p < ceil(90 * t / 100.0)))")
 _WIN = ("2024-01-05 00:00:00", "2024-01-20 00:00:00")
 _SPAN = ", sp AS (SELECT c, min(ts) AS x, max(ts) AS y FROM ev GROUP BY c), kept AS (SELECT * FROM ev WHERE c IN (SELECT c FROM sp WHERE {}))"
 _filtered("time_window_intersecting", "se", {"time_from": _WIN[0], "time_to": _WIN[1]}, _SPAN.format(f"y >= TIMESTAMP '{_WIN[0]}' AND x <= TIMESTAMP '{_WIN[1]}'"))
@@ -248,10 +248,6 @@ add("resource_mode", lambda s, d: resources.performers(events_log(s, d)), _RES +
 add("resource_first", lambda s, d: resources.performers(events_log(s, d), "first"), _RES + "SELECT a AS act, arg_min(res, seen) AS performer FROM rs GROUP BY a", "ev")
 add("resource_all", lambda s, d: resources.performers(events_log(s, d), "all"), _RES + "SELECT a AS act, string_agg(res, '+' ORDER BY seen) AS performer FROM rs GROUP BY a", "ev")
 add("resource_components", lambda s, d: resources.components(events_log(s, d)), " SELECT DISTINCT res FROM ev WHERE res IS NOT NULL AND res <> ''", "ev")
-add("suggest_time_share", lambda s, d: suggest.time_share(events_log(s, d)).withColumn("share", _r("share")), " SELECT a AS act, coalesce(sum(greatest(e - pe, 0)) FILTER (WHERE pe IS NOT NULL), 0)::BIGINT AS seconds, round(coalesce(sum(greatest(e - pe, 0)) FILTER (WHERE pe IS NOT NULL), 0) / sum(sum(greatest(e - pe, 0)) FILTER (WHERE pe IS NOT NULL)) OVER (), 6)::DOUBLE AS share, count(DISTINCT c)::BIGINT AS reach, (count(*) - count(DISTINCT c))::BIGINT AS repeats FROM ev GROUP BY a", "ev")
-_WAYS = ", w AS (SELECT DISTINCT c, a, na FROM ev WHERE na IS NOT NULL AND a <> na), p AS (SELECT c, least(a, na) AS x, greatest(a, na) AS y, bool_or(a < na) AS f, bool_or(a > na) AS g FROM w GROUP BY 1, 2, 3), il AS (SELECT x AS a, y AS b, count(*) FILTER (WHERE f) AS forth, count(*) FILTER (WHERE g) AS back, count(*) FILTER (WHERE f AND g) AS both_n FROM p GROUP BY 1, 2 HAVING count(*) FILTER (WHERE f) > 0 AND count(*) FILTER (WHERE g) > 0 AND count(*) FILTER (WHERE f AND g) < 0.5 * least(count(*) FILTER (WHERE f), count(*) FILTER (WHERE g))) "
-add("interleaving", lambda s, d: suggest.interleaving(sessions_log(s, d)).select("a", "b", "forth", "back", F.col("both").alias("both_n")), _WAYS + "SELECT a, b, forth::BIGINT AS forth, back::BIGINT AS back, both_n::BIGINT AS both_n FROM il", "se")
-add("decision_points", lambda s, d: suggest.decision_points(line_log(s, d)).withColumn("share", _r("share")), _WAYS + ", ed AS (SELECT a, na AS b, count(DISTINCT c) AS cases FROM ev WHERE na IS NOT NULL AND a <> na GROUP BY 1, 2), rc AS (SELECT a, count(DISTINCT c) AS reach FROM ev GROUP BY a), ok2 AS (SELECT ed.a, ed.b, cases, cases / reach AS share FROM ed JOIN rc ON rc.a = ed.a WHERE cases / reach >= 0.1 AND NOT EXISTS (SELECT 1 FROM il WHERE (il.a = ed.a AND il.b = ed.b) OR (il.a = ed.b AND il.b = ed.a))) SELECT a AS act, b, cases::BIGINT AS cases, round(share, 6)::DOUBLE AS share FROM ok2 WHERE a IN (SELECT a FROM ok2 GROUP BY a HAVING count(*) >= 2)", "li")
 add("suggest_dashboards", lambda s, d: s.createDataFrame([(b["name"], len(b["widgets"])) for b in suggest.suggest_dashboards(events_log(s, d))], "name string, widgets int"))
 
 
@@ -275,7 +271,7 @@ def _mined(fn):
     return run
 
 
-add("replay_parses", lambda s, d: tree.parses(variants.case_variants(chat_log(s, d))[1], _chat_tree()).select("trace", "n", "signature", "exhausted"))
+add("replay_parses", lambda s, d: tree.parses(variants.trace_counts(chat_log(s, d))[1], _chat_tree()).select("trace", "n", "signature", "exhausted"))
 add("variant_clusters", _mined(lambda log, t: tree.cluster(log, t)[0].select("variant", "cases", "sequences", "signature")))
 add("traversal_counts", _mined(tree.traversal))
 
@@ -304,7 +300,7 @@ _LABELS = _FIT + f", lb AS (SELECT c, 1 AS choice, (early > 0)::INT AS branch FR
 add("branch_labels", lambda s, d: decisions.branch_labels(line_log(s, d), _line_tree()).groupBy("choice", "branch").agg(F.count("*").alias("cases")), _LABELS + "SELECT choice::INT AS choice, branch::INT AS branch, count(*)::BIGINT AS cases FROM lb GROUP BY 1, 2", "li")
 add(
     "alignment_repair",
-    lambda s, d: alignment.walked(variants.case_variants(line_log(s, d))[1], _line_tree()).groupBy("status", "cost").agg(F.sum("n").alias("cases"), F.count("*").alias("sequences")),
+    lambda s, d: alignment.walked(variants.trace_counts(line_log(s, d))[1], _line_tree()).groupBy("status", "cost").agg(F.sum("n").alias("cases"), F.count("*").alias("sequences")),
     f", u AS (SELECT c, trace, idx, (a = 'NO')::INT AS late, (a IN {_EARLY})::INT AS early FROM ev JOIN cs USING (c)), p AS (SELECT *, sum(late) OVER w AS late_before, sum(early) OVER (PARTITION BY c) AS all_early, sum(early) OVER (PARTITION BY c) - sum(early) OVER w AS early_after FROM u WINDOW w AS (PARTITION BY c ORDER BY idx)), k AS (SELECT c, any_value(trace) AS trace, sum(1 - late - early) + least(min(late_before + early_after), any_value(all_early)) AS cost FROM p GROUP BY c) SELECT CASE WHEN cost = 0 THEN 'fitting' ELSE 'repaired' END AS status, cost::INT AS cost, count(*)::BIGINT AS cases, count(DISTINCT trace)::BIGINT AS sequences FROM k GROUP BY 1, 2",
     "li",
 )
@@ -362,3 +358,5 @@ add("scenario_coverage", lambda s, d: scenarios.coverage(_scenarios(s, d), scena
 add("scenario_comparison", lambda s, d: scenarios.compare_all(_scenarios(s, d), "v1").withColumn("agreement", _r("agreement")))
 
 FLAGSHIP = "case_duration_by_segment"
+
+from . import more  # noqa: E402, F401  (adds its queries to those above)

@@ -11,16 +11,25 @@ from eventloom.sources import files
 
 
 def day(n):
-    return dt.datetime(2026, 1, 5) + dt.timedelta(days=n)
+    return dt.datetime(2025, 3, 3) + dt.timedelta(days=n)
 
 
 @pytest.fixture(scope="module")
-def abc(spark):
-    rows = [("c0", "A", 0), ("c0", "B", 1), ("c0", "C", 3), ("c1", "A", 0), ("c1", "B", 2), ("c1", "C", 6), ("c2", "A", 0), ("c2", "C", 4), ("c3", "A", 0), ("c3", "B", 1), ("c3", "A", 2), ("c3", "C", 8)]
-    res = {"c0": "R1", "c1": "R2", "c2": "R1", "c3": "R2"}
-    df = spark.createDataFrame([(c, a, day(d), i, res[c]) for i, (c, a, d) in enumerate(rows)], "c string, a string, t timestamp, i int, r string")
-    attrs = spark.createDataFrame([("c0", "AUS", 1.0), ("c1", "NZL", 2.0), ("c2", "AUS", 3.0), ("c3", "NZL", None)], "case string, country string, age double")
-    return EventLog.of(df, F.col("c"), F.col("a"), F.col("t"), F.col("i"), res=F.col("r"), attrs=attrs, numeric=("age",))
+def parcels(spark):
+    """Five parcels: two are packed once, one is not packed, one is packed twice, one is cancelled."""
+    steps = {"p1": "Open 0 Pack 2 Ship 5", "p2": "Open 0 Pack 1 Ship 3", "p3": "Open 0 Ship 9", "p4": "Open 0 Pack 1 Pack 4 Ship 6", "p5": "Open 0 Cancel 1"}
+    clerk = {"p1": "Ana", "p2": "Ben", "p3": "Ana", "p4": "Ben", "p5": "Cy"}
+    rows = []
+    for case, text in steps.items():
+        words = text.split()
+        rows += [(case, a, day(int(n)), clerk[case]) for a, n in zip(words[::2], words[1::2], strict=True)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "c string, a string, t timestamp, r string, i int")
+    attrs = [("p1", "north", 7.0), ("p2", "south", 8.0), ("p3", "north", 9.0), ("p4", None, 10.0), ("p5", "south", None)]
+    attrs = spark.createDataFrame(attrs, "case string, region string, weight double")
+    return EventLog.of(df, F.col("c"), F.col("a"), F.col("t"), F.col("i"), res=F.col("r"), attrs=attrs, numeric=("weight",))
+
+
+CASES = ("p1", "p2", "p3", "p4", "p5")
 
 
 def values(log, metric, **params):
@@ -28,60 +37,76 @@ def values(log, metric, **params):
     return {r["case"]: r["value"] for r in t.collect()}
 
 
-def test_metrics(abc):
-    assert values(abc, "duration") == {"c0": 3, "c1": 6, "c2": 4, "c3": 8}
-    assert values(abc, "rework") == {"c0": 0, "c1": 0, "c2": 0, "c3": 1}
-    assert values(abc, "actFreq", activity="B") == {"c0": 1, "c1": 1, "c2": 0, "c3": 1}
-    assert values(abc, "actRework", activity="B") == {"c0": 0, "c1": 0, "c2": None, "c3": 0}
-    assert values(abc, "timeBetween", **{"from": "B", "to": "A"}) == {"c0": None, "c1": None, "c2": None, "c3": 1}
-    assert values(abc, "edgeShare", **{"from": "A", "to": "B"}) == {"c0": 1, "c1": 1, "c2": 0, "c3": 1}
+def of(*xs):
+    return dict(zip(CASES, xs, strict=True))
+
+
+def test_metrics(parcels):
+    assert values(parcels, "duration") == of(5, 3, 9, 6, 1)
+    assert values(parcels, "rework") == of(0, 0, 0, 1, 0)
+    assert values(parcels, "actFreq", activity="Pack") == of(1, 1, 0, 2, 0)
+    assert values(parcels, "actRework", activity="Pack") == of(0, 0, None, 1, None)
+    assert values(parcels, "timeBetween", **{"from": "Pack", "to": "Ship"}) == of(3, 2, None, 5, None)
+    assert values(parcels, "edgeShare", **{"from": "Open", "to": "Pack"}) == of(1, 1, 0, 1, 0)
 
 
-def test_formula_nulls(abc):
-    f = lambda text: values(abc, "custom", formula=text)
-    assert f('attr("age") > 1 and contains("X")') == {"c0": 0, "c1": 0, "c2": 0, "c3": None}
-    assert f('1 / count("X")') == dict.fromkeys(("c0", "c1", "c2", "c3"))
-    assert f('duration() where attr("country") == "AUS"') == {"c0": 3, "c1": None, "c2": 4, "c3": None}
-    assert f("broken(") == dict.fromkeys(("c0", "c1", "c2", "c3"))
+def test_formula_nulls(parcels):
+    f = lambda text: values(parcels, "custom", formula=text)
+    assert f('attr("weight") > 8 and contains("Lose")') == of(0, 0, 0, 0, None)
+    assert f('1 / count("Lose")') == dict.fromkeys(CASES)
+    assert f('duration() where attr("region") == "north"') == of(5, None, 9, None, None)
+    assert f("broken(") == dict.fromkeys(CASES)
 
 
-def test_filters_on_missing_values(abc):
-    n = lambda f: len(widgets.case_values(abc, {"metric": "duration", "filters": [f]})[0].collect())
-    assert n({"field": "attr:age", "op": "not", "value": 1.0}) == 2  # a missing number never passes
-    assert n({"field": "attr:country", "op": "not", "value": "AUS"}) == 2
+def test_filters_on_missing_values(parcels):
+    n = lambda f: len(widgets.case_values(parcels, {"metric": "duration", "filters": [f]})[0].collect())
+    assert n({"field": "attr:weight", "op": "not", "value": 7.0}) == 3  # a missing number never passes
+    assert n({"field": "attr:region", "op": "not", "value": "north"}) == 3  # a missing text does
     assert n({"field": "segment", "value": ["weekday", "Noday"]}) == 0
-    assert n({"field": "attr:none", "op": "is", "value": "x"}) == 4
+    assert n({"field": "attr:none", "op": "is", "value": "x"}) == 5
     with pytest.raises(ValueError):
         n({"field": "what", "value": 1})
 
 
-def test_statistics(abc):
-    a = {r["act"]: r for r in performance.activity_stats(abc.events()).collect()}
-    assert (a["A"]["frequency"], a["A"]["case_coverage"], a["A"]["repeat_frequency"]) == (5, 4, 1)
-    p = {(r["a"], r["b"]): r["frequency"] for r in performance.pair_stats(abc.events()).collect()}
-    assert p == {("A", "B"): 3, ("B", "C"): 2, ("A", "C"): 2, ("B", "A"): 1}
-    v = variants.variants(abc).orderBy("rank").collect()
-    assert (v[0]["n"], v[0]["text"]) == (2, "A → B → C")
-    assert {r["act"]: r["performer"] for r in resources.performers(abc).collect()} == {"A": "R2", "B": "R2", "C": "R1"}
+def test_statistics(parcels):
+    a = {r["act"]: r for r in performance.activity_stats(parcels.events()).collect()}
+    assert (a["Pack"]["frequency"], a["Pack"]["case_coverage"], a["Pack"]["repeat_frequency"]) == (4, 3, 1)
+    assert a["Ship"]["sojourn_median"] == 2.5 * 86400 and a["Open"]["sojourn_mean"] is None
+    p = {(r["a"], r["b"]): r["frequency"] for r in performance.pair_stats(parcels.events()).collect()}
+    assert p == {("Open", "Pack"): 3, ("Pack", "Ship"): 3, ("Open", "Ship"): 1, ("Pack", "Pack"): 1, ("Open", "Cancel"): 1}
+    v = variants.variants(parcels).orderBy("rank").collect()
+    assert (v[0]["n"], v[0]["text"]) == (2, "Open → Pack → Ship")
+    assert {r["act"]: r["performer"] for r in resources.performers(parcels).collect()} == {"Open": "Ana", "Pack": "Ben", "Ship": "Ana", "Cancel": "Cy"}
 
 
-def test_log_filters(abc):
-    n = lambda **o: logfilters.apply(abc, o).df.select("case").distinct().count()
+def test_log_filters(parcels):
+    n = lambda **o: logfilters.apply(parcels, o).df.select("case").distinct().count()
     assert n(variant_ranks=(1, 1)) == 2
-    assert n(attr_expr='attr("age") >= 2') == 2
-    assert n(duration_pct=(0, 50)) == 2
-    assert n(time_to="2026-01-09 00:00:00", time_mode="traces_contained") == 2
-    assert logfilters.apply(abc, {"activity_ranks": (1, 1)}).df.select("act").distinct().collect()[0][0] == "A"
+    assert n(attr_expr='attr("weight") >= 8') == 3
+    assert n(duration_pct=(0, 50)) == 3
+    assert n(time_to="2025-03-08 00:00:00", time_mode="traces_contained") == 3
+    assert logfilters.apply(parcels, {"activity_ranks": (1, 1)}).df.select("act").distinct().collect()[0][0] == "Open"
 
 
-def test_partition_has_unknown(abc):
-    cells = {r["axis1"]: r["n"] for r in families.grid(families.partition(abc, ["age"])).collect()}
-    assert cells == {"1": 1, "2": 1, "3": 1, "Unknown": 1}
+@pytest.mark.parametrize("lo, hi", [(0, 100), (0, 40), (20, 60), (40, 41), (60, 60), (90, 100)])
+def test_duration_pct_against_a_sorted_list(spark, lo, hi):
+    length = [3, 1, 3, 3, 0, 9, 3, 1, 7, 3, 250, 3]
+    rows = [(f"c{i:02}", "ab"[k], day(0) + dt.timedelta(hours=h * k), 2 * i + k) for i, h in enumerate(length) for k in (0, 1)]
+    log = EventLog.of(spark.createDataFrame(rows, "c string, a string, t timestamp, i int"), F.col("c"), F.col("a"), F.col("t"), F.col("i"))
+    kept = {r["case"] for r in logfilters.duration_pct(log, lo, hi).df.select("case").distinct().collect()}
+    order = sorted(range(len(length)), key=lambda i: (length[i], i))
+    n = len(length)
+    assert kept == {f"c{i:02}" for i in order[lo * n // 100 : -(-hi * n // 100)]}
 
 
-def test_scorecard_and_formats(spark, abc):
-    r = widgets.scorecard(abc, [{"title": "t", "metric": "duration", "agg": "max", "target": {"value": 7, "dir": "max", "warn": 9}}]).first()
-    assert (r["value"], r["goal"], r["state"]) == (8, "≤ 7 d", "risk")
+def test_partition_has_unknown(parcels):
+    cells = {r["axis1"]: r["n"] for r in families.grid(families.partition(parcels, ["weight"])).collect()}
+    assert cells == {"7": 1, "8": 1, "9": 1, "10": 1, "Unknown": 1}
+
+
+def test_scorecard_and_formats(spark, parcels):
+    r = widgets.scorecard(parcels, [{"title": "t", "metric": "duration", "agg": "max", "target": {"value": 8, "dir": "max", "warn": 10}}]).first()
+    assert (r["value"], r["goal"], r["state"]) == (9, "≤ 8 d", "risk")
     one = spark.range(1).select(widgets.half_away(F.lit(1.005), 2).alias("x"), widgets.format_value(F.lit(0.5), "time").alias("t"), widgets.format_value(F.lit(None).cast("double"), "count").alias("m")).first()
     assert (one["x"], one["t"], one["m"]) == (1.0, "12 h", "—")
 
@@ -105,22 +130,30 @@ def fits(t, trace):
 
 
 def test_replay():
-    t = node(S, leaf("X"), node(P, leaf("Y"), leaf("Z")), node(X, leaf("A"), leaf("B")), leaf("W"))
-    assert fits(t, "XYZAW")[0] == fits(t, "XZYAW")[0] != fits(t, "XYZBW")[0]
-    assert fits(t, "XYAW") is None and fits(t, "XYZAWW") is None
-    loop = node(S, leaf("S"), node(L, leaf("A"), leaf("B")))
-    assert fits(loop, "SABABA")[1][3] == 3 and fits(loop, "SAB") is None
-    nested = node(L, node(S, leaf("S"), node(L, leaf("A"), leaf("B"))), leaf("Z"))
-    for trace in ("SA", "SABAZSABABA", "SABAZSA", "SABABABA"):
+    t = node(S, node(P, leaf("m"), node(S, leaf("p"), leaf("q"))), node(X, tree.TAU, leaf("r")))
+    assert fits(t, "mpq")[0] == fits(t, "pmq")[0] == fits(t, "pqm")[0] != fits(t, "mpqr")[0]
+    assert fits(t, "qpm") is None and fits(t, "mp") is None and fits(t, "mpqrr") is None
+    nested = node(L, node(X, leaf("u"), node(L, leaf("v"), leaf("w"))), leaf("y"))
+    for trace in ("u", "vwv", "uyvwvwv", "vyuyv", "uyuyvwv"):
         visits = fits(nested, trace)[1]
-        assert [visits[n] for n in (2, 4, 5, 6)] == [trace.count(c) for c in "SABZ"]
+        assert [visits[n] for n in (2, 4, 5, 6)] == [trace.count(c) for c in "uvwy"]
+    assert fits(nested, "vw") is None and fits(nested, "uu") is None
 
 
-def test_memo_does_not_leak_between_parallel_parts():
-    t = node(L, node(S, leaf("S"), node(P, node(X, tree.TAU, node(X, leaf("P"), leaf("Q"))), node(X, tree.TAU, leaf("Z")))), leaf("R"))
-    visits = fits(t, "SPRSQ")[1]
+def test_parallel_parts_of_later_rounds_are_parsed_anew():
+    t = node(L, node(P, node(X, leaf("c"), leaf("d")), node(X, tree.TAU, leaf("e"))), leaf("z"))
+    visits = fits(t, "cezdzec")[1]
     names = {i: n.label for i, n in tree.numbered(t).items()}
-    assert {names[i]: k for i, k in visits.items() if names[i] in ("P", "Q")} == {"P": 1, "Q": 1}
+    assert {names[i]: k for i, k in visits.items() if names[i]} == {"c": 2, "d": 1, "e": 2, "z": 2}
+
+
+def test_only_the_budget_bounds_shared_events():
+    t = node(P, leaf("a"), node(L, leaf("a"), tree.TAU))  # either part may take any of the events
+    for n in (2, 17, 18, 90):
+        assert tree.Replayer(t).replay(("a",) * n) is not None
+    either = node(L, node(X, leaf("a"), leaf("b")), tree.TAU)
+    with pytest.raises(tree.OutOfBudget):
+        tree.Replayer(node(P, node(S, either, leaf("c")), either), 5_000).replay(tuple("ab") * 20)
 
 
 @pytest.mark.parametrize("traces", [["ab", "ac"], ["abc", "acb"], ["a", "aba", "ababa"], ["ab", "b"], ["abcd", "acbd", "aed"], ["x"], ["aa", "a"], ["abab", "ba", "c"]])
@@ -135,14 +168,14 @@ def test_discovery_finds_operators():
     assert tree.inductive({tuple("a"): 1, tuple("b"): 1}).op == X
 
 
-def test_prune_and_cluster(spark, abc):
+def test_prune_and_cluster(spark, parcels):
     t = node(X, leaf("A"), leaf("B"), leaf("C"))
     small, removed = tree.prune(t, {0: 100, 1: 90, 2: 8, 3: 2}, min_share=0.05)
     assert str(small) == "X('A', 'B')" and removed == [3]
-    model = node(S, leaf("A"), node(X, tree.TAU, leaf("B")), leaf("C"))
-    groups, cases = tree.cluster(abc, model)
+    model = node(S, leaf("Open"), node(X, tree.TAU, leaf("Pack")), leaf("Ship"))
+    groups, cases = tree.cluster(parcels, model)
     assert [(r["variant"], r["cases"]) for r in groups.orderBy("rank").collect()] == [("v1", 2), ("v2", 1)]
-    assert {r["case"]: r["variant"] for r in cases.collect()}["c3"] == "noise"
+    assert {r["case"]: r["variant"] for r in cases.collect()}["p4"] == "noise"
 
 
 # Files
