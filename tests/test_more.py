@@ -194,7 +194,8 @@ def test_assigned_cells(spark):
     cells = lambda **o: {r["axis1"]: r["n"] for r in families.cells_of(families.assign(log, ["place"], **o)).collect()}
     assert cells() == {"STRASSE": 2, "hof": 2, "Unknown": 1} and cells(ignore_case=False) == {"hof": 2, "STRASSE": 1, "Straße": 1, "Unknown": 1}
     assert cells(unknown=False) == {"STRASSE": 2, "hof": 2} and cells(include={"place": ["HOF"]}) == {"hof": 2}
-    assert cells(max_values=2, other=True) == {"STRASSE": 2, "Other": 2, "Unknown": 1} and cells(max_values=1, other=False) == {"Unknown": 1}
+    assert cells(max_values=2) == {"STRASSE": 2, "hof": 2, "Unknown": 1}
+    assert cells(max_values=1) == {"Other": 4, "Unknown": 1} and cells(max_values=1, other=False) == {"Unknown": 1}
     assert families.dropped_cases(families.assign(log, ["place"], include={"place": ["hof"]})) == 3
     with pytest.raises(ValueError):
         families.assign(log, ["place"], include={"place": ["nowhere"]})
