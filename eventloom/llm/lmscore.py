@@ -51,6 +51,8 @@ NOISE, MEMBER_NOISE, STEP, SLICE = 16, 2, 2048, 1024
 RATE, FAN_IN, BLOCK = 0.03, 64, 512
 #: Steps on the coarse counts, and noise samples drawn for each context class in one of them.
 COARSE_STEPS, COARSE_NOISE = 300, 64
+#: Tokens whose classes are gathered at a time when scoring.
+CHUNK = 1 << 16
 TOP = 200_000
 #: Distinct words kept by a task before it starts its table anew.
 CACHE = 400_000
@@ -118,20 +120,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(own | {"lag": np.zeros(len(j), np.int32)}, _COUNT)
 
     for rows in batches:
-        kept = []
-        for doc_id, text in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True):
-            t = codes.tokens(text)
-            if len(codes.hashes) > sums.shape[1]:
-                sums = np.concatenate([sums, np.zeros((2, len(codes.hashes) + sums.shape[1]), np.int64)], axis=1)
-            u, k = np.unique(t, return_counts=True)
-            sums[1, u] += k
-            if not held_out(doc_id):
-                sums[0, u] += k
-                kept.append(t)
+        texts = [codes.tokens(t) for t in rows[1].to_pylist()]
+        if not texts:
+            continue
+        kept = [t for i, t in zip(rows[0].to_pylist(), texts, strict=True) if not held_out(i)]
+        n = len(codes.hashes)
+        if n > sums.shape[1]:
+            sums = np.concatenate([sums, np.zeros((2, n + sums.shape[1]), np.int64)], axis=1)
+        sums[1, :n] += np.bincount(np.concatenate(texts), minlength=n)
         if kept:
             coarse = 1 + np.array(codes.classes, np.int64) % COARSE
             coarse[0] = 0
             flat, contexts = _steps(kept)
+            sums[0, :n] += np.bincount(flat, minlength=n)
             for i in range(CONTEXT):
                 pairs[i] += np.bincount(coarse[contexts[:, i]] * (COARSE + 1) + coarse[flat], minlength=PAIRS)
         if len(codes.hashes) > CACHE:
@@ -360,8 +361,8 @@ class LogBilinear:
         self.c = c.copy()
         self.b1, self.b2 = np.log(self.p1).astype(np.float32), np.log(self.p2).astype(np.float32)
 
-    #: The arrays whose rows are trained and averaged, in a fixed order.
-    ROWS = ("q", "r1", "b1", "r2", "b2", "c")
+    #: The arrays whose rows are trained and averaged, in a fixed order; a member's bias stays its unigram within the class.
+    ROWS = ("q", "r1", "b1", "r2", "c")
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that each row of contexts (the latest token first) predicts."""
@@ -444,10 +445,8 @@ class Trainer:
             starts = np.append(0, np.flatnonzero(np.diff(cls[order])) + 1)
             mine = cls[order][starts]
             per_class = np.add.reduceat((gd[:, :, None] * pw[:, None, :])[order], starts, axis=0)
-            bias_class = np.add.reduceat(gd[order], starts, axis=0)
             noisy = drawn[mine].ravel()
             self._add("r2", np.concatenate([rows2, noisy]), np.concatenate([gm[:, None] * pw, per_class.reshape(len(noisy), -1)]))
-            self._add("b2", np.concatenate([rows2, noisy]), np.concatenate([gm, bias_class.ravel()]))
         self._add("r1", rows1, grad1)
         self._add("b1", rows1, bias1)
         turned = [gp @ m.c[i].T for i in range(CONTEXT)]
@@ -543,13 +542,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
             if not texts:
                 continue
             flat, contexts = _steps(texts)
-            each = model.log_probs(tables["symbol"][contexts], tables["unit"][flat], tables["member"][flat]) / math.log(10) + tables["share"][flat]
-            there, count, seen, h = tables["there"], tables["count"], tables["seen"], tables.codes.hashes
-            ends = np.cumsum([0, *map(len, texts)])
+            each = tables["share"][flat]
+            for a in range(0, len(flat), CHUNK):
+                z = slice(a, a + CHUNK)
+                each[z] += model.log_probs(tables["symbol"][contexts[z]], tables["unit"][flat[z]], tables["member"][flat[z]]) / math.log(10)
+            begin = np.cumsum([0, *map(len, texts[:-1])])
+            scores, seen, known = (np.add.reduceat(x, begin) for x in (each, tables["seen"][flat], (tables["count"][flat] > 0).astype(np.int64)))
+            rare, h = ~tables["there"], tables.codes.hashes
             for n, (doc_id, t) in enumerate(zip(ids, texts, strict=True)):
-                u, k = np.unique(t[~there[t]], return_counts=True)
-                own = float(each[ends[n] : ends[n + 1]].sum())
-                values = (row, doc_id, held_out(doc_id), len(t), int((count[t] > 0).sum()), float(seen[t].sum()), own, [h[x] for x in u], k.astype(np.int32))
+                u, k = np.unique(t[rare[t]], return_counts=True)
+                values = (row, doc_id, held_out(doc_id), len(t), int(known[n]), float(seen[n]), float(scores[n]), [h[x] for x in u], k.astype(np.int32))
                 for name, x in zip(_SCORED.names, values, strict=True):
                     out[name].append(x)
                 row += 1
