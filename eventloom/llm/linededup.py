@@ -147,12 +147,14 @@ def dedup_lines(docs: DataFrame, n_batches: int = N_BATCHES, fan_in: int = FAN_I
     spark = docs.sparkSession
     docs = docs.drop("line_n", "line_dropped", "_doc", "_gone")
     lines = stash(hash_lines(docs), "line-keys")
-    low, high = lines.where(F.col("doc") < _LAST).agg(F.min("doc"), F.max("doc")).first()
-    low, high = low or 0, high or 0
-    step = (high - low) // n_batches + 1
+    # batches of like size, whatever the ids
+    shares = [i / n_batches for i in range(1, n_batches)]
+    ids = docs.select(F.col("doc_id").cast("double").alias("id")).where("id IS NOT NULL")
+    cuts = sorted({min(int(x), _LAST - 1) for x in ids.approxQuantile("id", shares, 0.01)}) if shares else []
     store = LineRuns(spark, scratch_path(spark, "line-runs"), fan_in)
-    for i in range(n_batches):
-        store.add(lines.where((F.col("doc") >= low + i * step) & ((F.col("doc") < low + (i + 1) * step) if i + 1 < n_batches else F.lit(True))))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        here = F.lit(True) if low is None else F.col("doc") >= low
+        store.add(lines.where(here if high is None else here & (F.col("doc") < high)))
     gone = store.drops(lines).groupBy(F.struct("doc", "t1", "t2").alias("_doc")).agg(F.collect_set("ord").alias("_gone"))
     keyed = docs.withColumn("_doc", F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("doc"), *_text_hash()))
     wide = keyed.join(gone.hint("shuffle_hash"), "_doc", "left").drop("_doc")

@@ -209,7 +209,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     if not lists.isEmpty():
         ids = stash(lists.select("doc").distinct(), "near-candidates")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        sets = stash(map_rows(text.join(ids, F.col("doc_id") == F.col("doc"), "left_semi"), _sets, _SET).dropDuplicates(["doc"]), "near-sets")
+        sets = stash(map_rows(text.join(ids, F.col("doc_id") == F.col("doc"), "left_semi"), _sets, _SET).groupBy("doc").agg(F.min("shingles").alias("shingles")), "near-sets")  # of one id's texts always the same
 
         centres = lists.groupBy("value").agg(F.min("doc").alias("c1"), F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("c2"), F.count("*").alias("m"))
         centres = stash(centres.where("m > 1").select("value", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre")), "near-centres")

@@ -7,8 +7,8 @@ out). Since both end alike, an ordinary window compresses to the same length und
 one is shorter under the toxic dictionary. A document's features are the largest gains over its windows;
 a logistic curve fitted on training rows that the dictionaries did not see turns them into a score.
 
-The fit uses at most MAX_TOXIC + MAX_ORDINARY labelled training documents, chosen by hash; near copies
-among them count once. The ordinary dictionary is trained on all windows of their whole texts, or on the
+The fit uses at most MAX_TOXIC + MAX_ORDINARY labelled training documents of MAX_BYTES together, chosen by
+hash; near copies among them count once. The ordinary dictionary is trained on all windows of their whole texts, or on the
 MAX_WINDOWS with the smallest hashes if there are more. Scoring covers every window of every whole text.
 
 Defined cases: null and empty texts have one empty window, no gain, and get the score of that; without
@@ -20,6 +20,7 @@ through ``score``, which replaces one named toxic_score.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -36,11 +37,13 @@ from pyspark.sql import types as T
 from ._common import map_rows, read
 
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
+#: Bytes of their texts together; texts that would pass it are left out, in the order of their hash.
+MAX_BYTES = 64 << 20
 #: Windows of ordinary texts on which the ordinary dictionary is trained.
 MAX_WINDOWS = 40_000
 FOLDS = 5
 WINDOW_WORDS = 8
-MIN_SPAN, MAX_SPAN, MAX_SPANS = 5, 14, 200
+MIN_SPAN, MAX_SPAN = 5, 14
 #: Least log-likelihood ratio of a span, and how much likelier toxic text must hold it.
 MIN_G, MIN_RATIO = 24.0, 20.0
 ORDINARY_BYTES = 4096
@@ -108,7 +111,7 @@ def telling_spans(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     live = {s: v for s in c1 if (v := g(s)) > MIN_G}
     out: list[bytes] = []
     gone: set[bytes] = set()
-    while live and len(out) < MAX_SPANS:
+    while live:
         best = max(live, key=lambda s: (round(live[s], 6), len(s), s))
         out.append(best)
         for w in holders[best]:
@@ -208,8 +211,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = dict(known.groupBy("toxic").count().collect())
     pick = lambda y, most: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = pick(1, MAX_TOXIC).union(pick(0, MAX_ORDINARY))  # bounded by the limits, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["toxic"]))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))  # a row per chosen document, however many rows share its id
+    sizes = labelled.groupBy("doc_id").agg(size.alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total = list(itertools.accumulate(r["size"] for r in sizes))
+    kept = [r["doc_id"] for r, t in zip(sizes, total, strict=True) if t <= MAX_BYTES]
+    if len(kept) < len(sizes):
+        labelled = labelled.where(F.col("doc_id").isin(kept))
+    rows = sorted(labelled.select("text", "toxic", "doc_id").collect(), key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     return fit([(r["text"], r["toxic"]) for r in rows], n.get(1, 0) / max(1, sum(n.values())))
 
 
