@@ -149,6 +149,19 @@ def calls(node: Node) -> set[tuple]:
     return found.union(*(calls(a) for a in node.args)) if node.args else found
 
 
+def referenced(node: Node) -> tuple[list[str], list[str]]:
+    """The activities and the attributes that a formula names, each sorted."""
+    found = calls(node)
+    acts = {a for name, *args in found if name != "attr" for a in args}
+    return sorted(acts), sorted({args[0] for name, *args in found if name == "attr"})
+
+
+def unknown_names(node: Node, activities, attributes) -> list[str]:
+    """What a formula names and a log does not have: a likely slip, not an error, as such a count is 0."""
+    acts, attrs = referenced(node)
+    return [a for a in acts if a not in set(activities)] + [f"attr:{a}" for a in attrs if a not in set(attributes)]
+
+
 def result_type(node: Node) -> str:
     """percent, time or count."""
     if node.kind == "where":

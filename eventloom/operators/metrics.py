@@ -19,6 +19,21 @@ CATALOG = {
     "wip": (RATE, ()), "arrivalRate": (RATE, ()), "completionRate": (RATE, ()), "custom": (None, ("formula",)),
 }
 SERIES = ("wip", "arrivalRate", "completionRate")
+#: What may be aggregated how, by type; metrics that need start times.
+AGGREGATIONS = {
+    TIME: ("avg", "median", "p90", "sum", "min", "max"),
+    COUNT: ("avg", "median", "p90", "sum", "min", "max"),
+    PERCENT: ("share",),
+    RATE: ("avg", "median", "p90", "max"),
+}
+NEED_STARTS = ("actService", "actWaiting")
+
+
+def catalog(log: EventLog) -> list[dict]:
+    """Every metric with its parameters, type, allowed aggregations, and why the log cannot have it, if it cannot."""
+    lacking = {m: "the log has no start times" for m in NEED_STARTS if not log.interval}
+    every = tuple(dict.fromkeys(a for names in AGGREGATIONS.values() for a in names))  # a formula's type is its own
+    return [{"metric": m, "type": kind, "params": params, "aggregations": AGGREGATIONS.get(kind, every), "available": m not in lacking, "reason": lacking.get(m)} for m, (kind, params) in CATALOG.items()]
 
 
 class Cases:

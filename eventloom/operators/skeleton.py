@@ -192,7 +192,7 @@ def family_choices(log: EventLog, cells: DataFrame, noise: float = 0.0) -> tuple
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     key = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], ", ".join([f"`{a}` {kinds[a]}" for a in axes] + ["cell int"]))
     traces = log.traces().join(cells.select("case", *axes), "case").groupBy(*axes, "trace").agg(F.count("*").alias("n"))
-    rows = traces.join(F.broadcast(key), axes)  # a row per cell
+    rows = traces.join(key, axes)  # a row per cell: broadcast if small
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         replayers = [Replayer(t) for t, _ in setup]

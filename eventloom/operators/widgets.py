@@ -269,7 +269,7 @@ def activity_widget(log: EventLog, spec: dict, filters: tuple[dict, ...] = ()) -
     if metric in ("actFreq", "actPresence", "actRepeats"):
         total = base.groupBy(*keys).agg(F.count("*").alias("cases"))
         sums = by.agg(F.sum("value").alias("s"), F.count_if(F.col("value") != 0).alias("nz"))
-        sums = sums.join(F.broadcast(total), keys) if keys else sums.withColumn("cases", F.lit(total.first()["cases"]))  # a row per label
+        sums = sums.join(total, keys) if keys else sums.withColumn("cases", F.lit(total.first()["cases"]))
         value = 100.0 * F.col("nz") / F.col("cases") if kind == PERCENT else F.col("s") / F.col("cases")
         return sums.select("r", *keys, value.alias("value"), F.col("cases").alias("n"))
     return by.agg(aggregate("share" if kind == PERCENT else spec.get("agg", "avg"), F.col("value")).alias("value"), F.count("value").alias("n"))

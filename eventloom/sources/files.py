@@ -20,12 +20,29 @@ class LogError(ValueError):
     pass
 
 
+def _head(spark: SparkSession, path: str, size: int) -> bytes | None:
+    """The first bytes of a path's first file, in whatever store it is; no more of it is read."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(context._jsc.hadoopConfiguration())
+    files = []
+    for found in store.globStatus(place) or ():
+        inside = store.listStatus(found.getPath()) if found.isDirectory() else [found]
+        files += [x.getPath() for x in inside if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return None
+    stream = store.open(min(files, key=lambda p: p.toString()))
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
     """(delimiter, encoding) from the first 64 KB of the path's first file."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("c")).first()
-    if head is None:
+    raw, encoding = _head(spark, path, 65536), "UTF-8"
+    if raw is None:
         raise LogError(f"no file at {path}")
-    raw, encoding = bytes(head["c"]), "UTF-8"
     try:
         text = raw.removeprefix(b"\xef\xbb\xbf").decode("utf-8")
     except UnicodeDecodeError as e:
