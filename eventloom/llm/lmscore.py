@@ -32,6 +32,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -84,7 +85,9 @@ class Codes(dict):
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
-        return np.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), 0)
+        if len(words) < 2:
+            return np.array([*map(self.__getitem__, words), 0], np.int64)
+        return np.array((*itemgetter(*words)(self), 0), np.int64)  # one call for all lookups
 
 
 def _longs(*names: str) -> list[T.StructField]:
@@ -370,16 +373,18 @@ class LogBilinear:
 
     def log_probs(self, contexts: np.ndarray, unit: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of units and, where there is one, of members within their class."""
-        found, p = np.empty(len(unit)), np.empty((len(unit), self.c.shape[1]), np.float32)
+        dim = self.c.shape[1]
+        found, p = np.empty(len(unit)), np.ones((len(unit), dim + 1), np.float32)  # the last column meets the biases
+        first, second = np.column_stack([self.r1, self.b1]), np.column_stack([self.r2, self.b2])
         bounds = [float(np.sqrt((r * r).sum(axis=1).max()) * 1.01) for r in (self.r1, self.r2)]
         widest = [float(np.abs(b).max()) for b in (self.b1, self.b2)]
         longest = 0.0
         for a in range(0, len(unit), SLICE):  # small enough for a core's cache
             z = slice(a, a + SLICE)
-            p[z] = self.predicted(contexts[z])
-            own = math.sqrt(float((p[z] * p[z]).sum(axis=1).max()))
+            p[z, :dim] = vector = self.predicted(contexts[z])
+            own = math.sqrt(float((vector * vector).sum(axis=1).max()))
             longest = max(longest, own)
-            found[z] = _log_softmax_at(p[z] @ self.r1.T + self.b1, unit[z], own * bounds[0] + widest[0])
+            found[z] = _log_softmax_at(p[z] @ first.T, unit[z], own * bounds[0] + widest[0])
         within = np.flatnonzero(member >= 0)
         cls = self.lex.member_class[member[within]]
         order = _order(cls)
@@ -390,7 +395,7 @@ class LogBilinear:
             step = max(1, (SLICE << 8) // (rows.stop - rows.start))
             for a in range(0, len(run), step):
                 i = within[run[a : a + step]]
-                found[i] += _log_softmax_at(p[i] @ self.r2[rows].T + self.b2[rows], member[i] - rows.start, longest * bounds[1] + widest[1])
+                found[i] += _log_softmax_at(p[i] @ second[rows].T, member[i] - rows.start, longest * bounds[1] + widest[1])
         return found
 
 
