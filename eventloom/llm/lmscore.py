@@ -32,11 +32,12 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,8 @@ TOP = 200_000
 #: Distinct words kept by a task before it starts its table anew.
 CACHE = 400_000
 END_HASH = 0
+#: Characters at a word's end that its class leaves out.
+STOPS = b".,;:!?|"
 PAIRS = (COARSE + 1) ** 2
 
 
@@ -65,9 +68,13 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD
 
 
+def _training(ids: pa.Array) -> np.ndarray:
+    return np.array([not held_out(i) for i in ids.to_pylist()], bool)
+
+
 def word_class(word: bytes) -> int:
     """A 31-bit hash of a word's end; classes are its remainders."""
-    return zlib.crc32(word.rstrip(b".,;:!?|")[-2:]) & 0x7FFFFFFF
+    return zlib.crc32(word.rstrip(STOPS)[-2:]) & 0x7FFFFFFF
 
 
 class Codes(dict):
@@ -75,19 +82,44 @@ class Codes(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes, self.classes = [END_HASH], [0]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word) - (1 << 63) or 1)
-        self.classes.append(word_class(word))
-        return code
+        self.hashes, self.classes = np.array([END_HASH], np.int64), np.zeros(1, np.int64)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of some distinct words; new ones are taken in, the empty word has -1."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.binary())), b"\n")
+        texts = joined[0].as_py().split(b"\n") if len(words) else []  # no word has a line break; faster than to_pylist
+        numbers = np.array([*map(self.get, texts, repeat(-1))], np.int64)
+        empty = pc.index(words, pa.scalar("", words.type)).as_py()
+        new = np.flatnonzero(numbers < 0)
+        new = new[new != empty]
+        if len(new):
+            numbers[new] = len(self.hashes) + np.arange(len(new))
+            added = [texts[i] for i in new.tolist()]
+            self.update(zip(added, count(len(self.hashes))))
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, added)), ">u8").astype(np.uint64)
+            h = (h ^ np.uint64(1 << 63)).view(np.int64)
+            self.hashes = np.concatenate([self.hashes, np.where(h == END_HASH, 1, h)])
+            ends = pc.ascii_rtrim(words.take(pa.array(new)), characters=STOPS.decode()).cast(pa.binary())
+            ends = pc.binary_slice(ends, -2).dictionary_encode()  # few: each class is told once
+            self.classes = np.concatenate([self.classes, np.array([*map(word_class, ends.dictionary.to_pylist())], np.int64)[ends.indices.to_numpy()]])
+        return numbers
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of texts in a row, and how many each text has; Arrow splits them and tells distinct words
+        apart, so each of these is looked up once."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # at the characters of bytes.split()
+        words = lists.flatten().dictionary_encode()
+        length = pc.list_value_length(lists).to_numpy().astype(np.int64) + 1
+        flat, word = np.zeros(length.sum(), np.int64), np.ones(length.sum(), bool)
+        word[np.cumsum(length) - 1] = False
+        flat[word] = self._numbers(words.dictionary)[words.indices.to_numpy()]
+        real = flat >= 0  # white space at a text's ends leaves empty words
+        return flat[real], np.add.reduceat(real, np.cumsum(length) - length, dtype=np.int64)
 
     def tokens(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if len(words) < 2:
-            return np.array([*map(self.__getitem__, words), 0], np.int64)
-        return np.array((*itemgetter(*words)(self), 0), np.int64)  # one call for all lookups
+        return self.encode(pa.array([text], pa.string()))[0]
 
 
 def _longs(*names: str) -> list[T.StructField]:
@@ -112,35 +144,32 @@ _SCORED = T.StructType(
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token counts, and counts of pairs of coarse classes at each distance in training documents."""
     codes, sums = Codes(), np.zeros((2, 1024), np.int64)
-    pairs = np.zeros((CONTEXT, PAIRS), np.int64)
+    pairs, coarse = np.zeros((CONTEXT, PAIRS), np.int64), np.zeros(1, np.int64)
 
     def out():
         n = len(codes.hashes)
         some = np.flatnonzero(sums[1, :n])
         for i in range(0, len(some), 20_000):
             j = some[i : i + 20_000]
-            own = {"h": np.array(codes.hashes, np.int64)[j], "cls": np.array(codes.classes, np.int32)[j], "c": sums[0, j], "c_all": sums[1, j]}
+            own = {"h": codes.hashes[j], "cls": codes.classes[j].astype(np.int32), "c": sums[0, j], "c_all": sums[1, j]}
             yield batch(own | {"lag": np.zeros(len(j), np.int32)}, _COUNT)
 
     for rows in batches:
-        texts = [codes.tokens(t) for t in rows[1].to_pylist()]
-        if not texts:
-            continue
-        kept = [t for i, t in zip(rows[0].to_pylist(), texts, strict=True) if not held_out(i)]
-        n = len(codes.hashes)
+        flat, length = codes.encode(rows[1])
+        kept, n = _training(rows[0]), len(codes.hashes)
         if n > sums.shape[1]:
             sums = np.concatenate([sums, np.zeros((2, n + sums.shape[1]), np.int64)], axis=1)
-        sums[1, :n] += np.bincount(np.concatenate(texts), minlength=n)
-        if kept:
-            coarse = 1 + np.array(codes.classes, np.int64) % COARSE
-            coarse[0] = 0
-            flat, contexts = _steps(kept)
+        sums[1, :n] += np.bincount(flat, minlength=n)
+        if kept.any():
+            coarse = np.concatenate([coarse, 1 + codes.classes[len(coarse) :] % COARSE])
+            flat = flat[np.repeat(kept, length)]
+            contexts = _contexts(flat, length[kept])
             sums[0, :n] += np.bincount(flat, minlength=n)
             for i in range(CONTEXT):
                 pairs[i] += np.bincount(coarse[contexts[:, i]] * (COARSE + 1) + coarse[flat], minlength=PAIRS)
         if len(codes.hashes) > CACHE:
             yield from out()
-            codes, sums = Codes(), np.zeros((2, 1024), np.int64)
+            codes, sums, coarse = Codes(), np.zeros((2, 1024), np.int64), np.zeros(1, np.int64)
     yield from out()
     for i in range(CONTEXT):
         some = np.flatnonzero(pairs[i])
@@ -183,11 +212,11 @@ class Lexicon:
         """Per code from ``first`` on; code 0 is the end. symbol: as a context; unit; member: its row, -1 for none;
         there: whether its count is known here; count; seen: log10(count + 1), 0 if not known here; share: a rare
         word's share of its class without that of counts that are not known here."""
-        h = np.array(codes.hashes[first:], np.int64)
+        h = codes.hashes[first:]
         i, there = self.place(h)
         rank = np.where(there, self.rank[i], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
         count = np.where(there, self.counts[i], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
-        cls = np.array(codes.classes[first:], np.int64) % self.classes
+        cls = codes.classes[first:] % self.classes
         symbol = np.where(rank > 0, rank, 1 + self.words + cls)
         member = np.where(rank > 0, self.member_row[rank], self.rare_rows()[cls])
         unit = np.where((rank > 0) & (member < 0), rank, 1 + self.singles + cls)
@@ -211,10 +240,10 @@ class Tables:
     def _anew(self) -> None:
         self.codes, self.known, self.own = Codes(), 0, None
 
-    def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.known > CACHE:
             self._anew()
-        out = [self.codes.tokens(t) for t in texts]
+        out = self.codes.encode(texts)
         if len(self.codes.hashes) > self.known:
             new = self.lex.tables(self.codes, self.known)
             self.own = new if self.own is None else {k: np.concatenate([v, new[k]]) for k, v in self.own.items()}
@@ -369,7 +398,7 @@ class LogBilinear:
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector that each row of contexts (the latest token first) predicts."""
-        return sum(self.q[contexts[:, i]] @ self.c[i] for i in range(CONTEXT))
+        return sum(self.q.take(contexts[:, i], axis=0) @ self.c[i] for i in range(CONTEXT))
 
     def log_probs(self, contexts: np.ndarray, unit: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of units and, where there is one, of members within their class."""
@@ -382,7 +411,7 @@ class LogBilinear:
         for a in range(0, len(unit), SLICE):  # small enough for a core's cache
             z = slice(a, a + SLICE)
             p[z, :dim] = vector = self.predicted(contexts[z])
-            own = math.sqrt(float((vector * vector).sum(axis=1).max()))
+            own = math.sqrt(float(np.einsum("td,td->t", vector, vector).max()))
             longest = max(longest, own)
             found[z] = _log_softmax_at(p[z] @ first.T, unit[z], own * bounds[0] + widest[0])
         within = np.flatnonzero(member >= 0)
@@ -413,10 +442,11 @@ class Trainer:
     def _add(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
         """A step along the gradients, those of one row summed."""
         order = _order(rows)
-        rows, gradients = rows[order], gradients[order]
+        rows, gradients = rows[order], gradients.take(order, axis=0)
         starts = np.append(0, np.flatnonzero(np.diff(rows)) + 1)
         own, g = rows[starts], np.add.reduceat(gradients, starts, axis=0)
-        mean = g * g if g.ndim == 1 else (g * g).reshape(len(g), -1).mean(axis=1)
+        flat = g.reshape(len(g), -1)
+        mean = np.einsum("rd,rd->r", flat, flat) / flat.shape[1]
         self.squares[name][own] += mean
         step = RATE / np.sqrt(self.squares[name][own])
         getattr(self.m, name)[own] += step.reshape(-1, *[1] * (g.ndim - 1)) * g
@@ -424,12 +454,12 @@ class Trainer:
 
     def step(self, contexts: np.ndarray, unit: np.ndarray, member: np.ndarray) -> None:
         m = self.m
-        q = [m.q[contexts[:, i]] for i in range(CONTEXT)]
+        q = [m.q.take(contexts[:, i], axis=0) for i in range(CONTEXT)]
         p = sum(x @ m.c[i] for i, x in enumerate(q))
         noise = np.searchsorted(self.cumulative1, self.rng.random(NOISE)).clip(max=len(m.p1) - 1)
         shift1, shift2 = self.shift1, self.shift2
-        r = m.r1[unit]
-        gt = 1 - _sigmoid((p * r).sum(axis=1) + m.b1[unit] - shift1[unit])
+        r = m.r1.take(unit, axis=0)
+        gt = 1 - _sigmoid(np.einsum("td,td->t", p, r) + m.b1[unit] - shift1[unit])
         gn = -_sigmoid(p @ m.r1[noise].T + m.b1[noise] - shift1[noise])
         gp = gt[:, None] * r + gn @ m.r1[noise]
         rows1 = np.concatenate([unit, noise])
@@ -439,17 +469,17 @@ class Trainer:
         within = np.flatnonzero(member >= 0)
         rows2 = member[within]
         if len(within):
-            cls, pw, r = m.lex.member_class[rows2], p[within], m.r2[rows2]
+            cls, pw, r = m.lex.member_class[rows2], p.take(within, axis=0), m.r2.take(rows2, axis=0)
             drawn = np.searchsorted(m.cumulative, self.class_start + self.rng.random((m.lex.classes, MEMBER_NOISE)))
             drawn = drawn.clip(max=len(m.p2) - 1)
-            gm = 1 - _sigmoid((pw * r).sum(axis=1) + m.b2[rows2] - shift2[rows2])
-            other = m.r2[drawn][cls]
+            gm = 1 - _sigmoid(np.einsum("td,td->t", pw, r) + m.b2[rows2] - shift2[rows2])
+            other = m.r2[drawn].take(cls, axis=0)
             gd = -_sigmoid(np.einsum("td,tkd->tk", pw, other) + (m.b2[drawn] - shift2[drawn])[cls])
             gp[within] += gm[:, None] * r + np.einsum("tk,tkd->td", gd, other)
             order = _order(cls)
             starts = np.append(0, np.flatnonzero(np.diff(cls[order])) + 1)
             mine = cls[order][starts]
-            per_class = np.add.reduceat((gd[:, :, None] * pw[:, None, :])[order], starts, axis=0)
+            per_class = np.add.reduceat((gd[:, :, None] * pw[:, None, :]).take(order, axis=0), starts, axis=0)
             noisy = drawn[mine].ravel()
             self._add("r2", np.concatenate([rows2, noisy]), np.concatenate([gm[:, None] * pw, per_class.reshape(len(noisy), -1)]))
         self._add("r1", rows1, grad1)
@@ -460,13 +490,11 @@ class Trainer:
         self._add("q", contexts.T.ravel(), np.concatenate(turned))
 
 
-def _steps(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of texts in a row and, for each, the CONTEXT tokens before it (ends before a text's first)."""
-    flat = np.concatenate(texts)
+def _contexts(flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each token of texts in a row the CONTEXT tokens before it (ends before a text's first)."""
     at = np.arange(len(flat))
-    begin = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), list(map(len, texts)))
-    contexts = np.stack([np.where(at - i >= begin, flat[np.maximum(at - i, 0)], 0) for i in range(1, CONTEXT + 1)], axis=1)
-    return flat, contexts
+    begin = np.repeat(np.cumsum(length) - length, length)
+    return np.stack([np.where(at - i >= begin, flat[np.maximum(at - i, 0)], 0) for i in range(1, CONTEXT + 1)], axis=1)
 
 
 def _blocks(trainer: Trainer) -> Iterator[tuple[int, bytes]]:
@@ -498,11 +526,12 @@ def fit(docs: DataFrame, lex: Lexicon, coarse: np.ndarray) -> LogBilinear:
         trainer = Trainer(LogBilinear(lex, start), TaskContext.get().partitionId())
         used = False
         for rows in batches:
-            texts = [t for i, t in zip(rows[0].to_pylist(), rows[1].to_pylist(), strict=True) if not held_out(i)]
-            if not texts:
+            kept = _training(rows[0])
+            if not kept.any():
                 continue
             used = True
-            flat, contexts = _steps(tables.tokens(texts))
+            flat, length = tables.encode(rows[1].filter(pa.array(kept)))
+            contexts = _contexts(flat, length)
             for a in range(0, len(flat), STEP):
                 z = slice(a, a + STEP)
                 trainer.step(tables["symbol"][contexts[z]], tables["unit"][flat[z]], tables["member"][flat[z]])
@@ -538,29 +567,31 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         model = shared.value
         row = TaskContext.get().partitionId() << 33
         tables = Tables(model.lex)
         for rows in batches:
-            out: dict[str, list] = {n: [] for n in _SCORED.names}
-            ids, texts = rows[0].to_pylist(), tables.tokens(rows[1].to_pylist())
-            if not texts:
+            ids, (flat, length) = rows[0].to_pylist(), tables.encode(rows[1])
+            if not ids:
                 continue
-            flat, contexts = _steps(texts)
+            contexts = _contexts(flat, length)
             each = tables["share"][flat]
             for a in range(0, len(flat), CHUNK):
                 z = slice(a, a + CHUNK)
                 each[z] += model.log_probs(tables["symbol"][contexts[z]], tables["unit"][flat[z]], tables["member"][flat[z]]) / math.log(10)
-            begin = np.cumsum([0, *map(len, texts[:-1])])
+            begin = np.cumsum(length) - length
             scores, seen, known = (np.add.reduceat(x, begin) for x in (each, tables["seen"][flat], (tables["count"][flat] > 0).astype(np.int64)))
-            rare, h = ~tables["there"], tables.codes.hashes
-            for n, (doc_id, t) in enumerate(zip(ids, texts, strict=True)):
-                u, k = np.unique(t[rare[t]], return_counts=True)
-                values = (row, doc_id, held_out(doc_id), len(t), int(known[n]), float(seen[n]), float(scores[n]), [h[x] for x in u], k.astype(np.int32))
-                for name, x in zip(_SCORED.names, values, strict=True):
-                    out[name].append(x)
-                row += 1
-            yield batch(out, _SCORED)
+            rare = np.flatnonzero(~tables["there"][flat])
+            pair = np.repeat(np.arange(len(ids)), length)[rare] * tables.known + flat[rare]
+            pair, times = np.unique(pair, return_counts=True)  # by document
+            begin = np.searchsorted(pair, np.arange(len(ids) + 1) * tables.known).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(begin, x) for x in (tables.codes.hashes[pair % tables.known], times.astype(np.int32))]
+            values = (row + np.arange(len(ids)), ids, [held_out(i) for i in ids], length, known, seen, scores)
+            row += len(ids)
+            schema = to_arrow_schema(_SCORED)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, values, schema.types[: len(values)]), *(x.cast(f) for x, f in zip(lists, schema.types[len(values) :], strict=True))], schema=schema)
 
     scored = stash(map_rows(docs.select("doc_id", "text"), run, _SCORED), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
