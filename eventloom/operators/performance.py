@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,27 +21,26 @@ def time_stats(v: Column, prefix: str = "") -> list[Column]:
     return [c.cast("double").alias(f"{prefix}{n}") for n, c in stats.items()]
 
 
-def _counted_stats(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """Per keys the time statistics of several whole-second values, from counts of equal values: a repeated value is one row."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("long").alias("v")) for k, v in values.items())))
-    equal = rows.select(*keys, each.alias("x")).where("x.v IS NOT NULL").groupBy(*keys, "x.kind", "x.v").agg(F.count("*").alias("n"))
-    v, n = F.col("v").cast("double"), F.col("n")
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)), F.col("n"))
+def _with_stats(rows: DataFrame, keys: list[str], cases: str, values: dict[str, Column]) -> DataFrame:
+    """Per keys: frequency, distinct cases under the name given, and the time statistics of whole-second values.
+
+    One pass: a case is counted by its first row of the keys, which a window tells where the case lies already; the
+    statistics come from counts of equal values, so a repeated value is one row.
+    """
+    own = Window.partitionBy("case", *keys).orderBy(F.lit(0))
+    marked = rows.select("case", *keys, *(v.cast("long").alias(f"_{k}") for k, v in values.items()))
+    marked = marked.withColumn("first", (F.row_number().over(own) == 1).cast("long"))
+    lead = next(iter(values))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("v"), (F.col("first") if k == lead else F.lit(0).cast("long")).alias("first")) for k in values)))
+    equal = marked.select(*keys, each.alias("x")).groupBy(*keys, "x.kind", "x.v").agg(F.count("*").alias("n"), F.sum("x.first").alias("cases"))
+    v, n = F.col("v").cast("double"), F.when(F.col("v").isNotNull(), F.col("n"))
+    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)), F.coalesce(n, F.lit(0)))
     many, total, squares = F.sum(n), F.sum(v * n), F.sum(v * v * n)
     std = F.when(many > 1, F.sqrt(F.greatest(squares - total * total / many, F.lit(0.0)) / (many - 1)))
     stats = {"mean": total / many, "median": q[0], "min": F.min(v), "max": F.max(v), "total": total, "std": std, "p90": q[1], "p95": q[2]}
-    per = equal.groupBy(*keys, "kind").agg(*(c.cast("double").alias(k) for k, c in stats.items()))
-    wide = (F.max(F.when(F.col("kind") == k, F.col(name))).alias(f"{k}_{name}") for k in values for name in TIME_STATS)
-    return per.groupBy(*keys).agg(*wide)
-
-
-def _with_stats(rows: DataFrame, keys: list[str], cases: str, values: dict[str, Column]) -> DataFrame:
-    """Per keys: frequency, distinct cases under the name given, and the statistics of the values."""
-    per_case = rows.groupBy(*keys, "case").agg(F.count("*").alias("n"))
-    out = per_case.groupBy(*keys).agg(F.sum("n").alias("frequency"), F.count("*").alias(cases))
-    stats = _counted_stats(rows, keys, values)
-    same = [out[k].eqNullSafe(stats[k]) for k in keys]
-    return out.join(stats, reduce(Column.__and__, same), "left").select(*(out[c] for c in out.columns), *(c for c in stats.columns if c not in keys))
+    per = equal.groupBy(*keys, "kind").agg(F.sum("n").alias("frequency"), F.sum("cases").alias(cases), *(c.cast("double").alias(k) for k, c in stats.items()))
+    of = lambda k, name: F.max(F.when(F.col("kind") == k, F.col(name)))
+    return per.groupBy(*keys).agg(of(lead, "frequency").alias("frequency"), of(lead, cases).alias(cases), *(of(k, name).alias(f"{k}_{name}") for k in values for name in TIME_STATS))
 
 
 def _share(df: DataFrame, by: list[str]) -> DataFrame:

@@ -270,3 +270,14 @@ def test_sampled_cases(spark):
     ids = lambda x: sorted(r["case"] for r in x.df.select("case").distinct().collect())
     assert n == 300 and len(ids(some)) == 50 and ids(some) == ids(again)
     assert files.sample_cases(log, 300)[0] is log
+
+
+def test_line_statistics_deal_the_lines_once(spark, sf, monkeypatch):
+    from eventloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_LINES", 500)
+    events = tables.line_log(spark, sf).events()
+    assert events.rdd.getNumPartitions() >= 12  # 6,000 lines
+    for out in (performance.pair_stats(events), performance.activity_stats(events)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 1  # read, dealt and sorted once, not once for counts and once for times
