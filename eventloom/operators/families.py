@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -225,25 +226,51 @@ def cell_label(axes: list[str]) -> Column:
     return F.concat_ws(" / ", *axes)
 
 
-def family_stats(log: EventLog, attributes: list[str], min_cases: int = 0, **options) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for: what nobody reads costs nothing."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def family_stats(log: EventLog, attributes: list[str], min_cases: int = 0, **options) -> Mapping[str, DataFrame]:
     """The statistics of a family of logs: process, ends, activity, edges, choices, skipped, and one row of totals."""
     from . import skeleton
 
-    assigned = assign(log, attributes, **options)
+    assigned = assign(log, attributes, **options).persist()
     axes = _axes(assigned)
     every = cells_of(assigned, min_cases).persist()
     cells = assigned.select("case", *axes).join(every.where("NOT skipped").select(*axes, F.col("n").alias("cell_cases")), axes)
-    totals = every.agg(F.coalesce(F.sum(F.when(~F.col("skipped"), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum(F.when(F.col("skipped"), F.col("n"))), F.lit(0)).alias("skipped"))
-    dropped = dropped_cases(assigned)
-    return {
-        "process": process_frame(log, cells),
-        "ends": family_ends(log, cells),
-        "activity": family_activities(log, cells).withColumn("cell", cell_label(axes)),
-        "edges": family_edges(log, cells).withColumn("cell", cell_label(axes)),
-        "choices": skeleton.family_choices(log, cells)[0].withColumn("cell", cell_label(axes)),
-        "skipped": every.where("skipped").select(*axes, "n"),
-        "totals": totals.withColumn("dropped", F.lit(dropped)).withColumn("total", F.col("covered") + F.col("skipped") + F.col("dropped")),
-    }
+
+    def totals() -> DataFrame:
+        t = every.agg(F.coalesce(F.sum(F.when(~F.col("skipped"), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum(F.when(F.col("skipped"), F.col("n"))), F.lit(0)).alias("skipped"))
+        return t.withColumn("dropped", F.lit(dropped_cases(assigned))).withColumn("total", F.col("covered") + F.col("skipped") + F.col("dropped"))
+
+    return Tables(
+        {
+            "process": lambda: process_frame(log, cells),
+            "ends": lambda: family_ends(log, cells),
+            "activity": lambda: family_activities(log, cells).withColumn("cell", cell_label(axes)).persist(),
+            "edges": lambda: family_edges(log, cells).withColumn("cell", cell_label(axes)).persist(),  # small, and read several times by the frames
+            "choices": lambda: skeleton.family_choices(log, cells)[0].withColumn("cell", cell_label(axes)).persist(),
+            "skipped": lambda: every.where("skipped").select(*axes, "n"),
+            "totals": totals,
+        }
+    )
 
 
 def family_ends(log: EventLog, cells: DataFrame) -> DataFrame:
@@ -271,7 +298,7 @@ def _matrix(stats: DataFrame, rows: list[str], metric: str) -> DataFrame:
     return stats.groupBy(*rows).pivot("cell").agg(F.first(metric))
 
 
-def activity_frame(stats: dict[str, DataFrame], metric: str = "frequency") -> DataFrame:
+def activity_frame(stats: Mapping[str, DataFrame], metric: str = "frequency") -> DataFrame:
     """Activities by cells of one metric."""
     return _matrix(stats["activity"], ["act"], metric).orderBy("act")
 
@@ -283,17 +310,17 @@ def edge_order(edges: DataFrame) -> DataFrame:
     return total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), text)))
 
 
-def edge_frame(stats: dict[str, DataFrame], metric: str = "frequency") -> DataFrame:
+def edge_frame(stats: Mapping[str, DataFrame], metric: str = "frequency") -> DataFrame:
     """Steps by cells of one metric, in their family-wide order."""
     return _matrix(stats["edges"], ["a", "b"], metric).join(edge_order(stats["edges"]), ["a", "b"]).orderBy("place").drop("total", "place")
 
 
-def choice_count_frame(stats: dict[str, DataFrame], choice: int) -> DataFrame:
+def choice_count_frame(stats: Mapping[str, DataFrame], choice: int) -> DataFrame:
     """Cells by branches of one choice: how often each is taken, null where the cell never comes to it."""
     return stats["choices"].where(F.col("choice") == choice).groupBy("cell").pivot("label").agg(F.first("n"))
 
 
-def choice_share_frame(stats: dict[str, DataFrame], choice: int) -> DataFrame:
+def choice_share_frame(stats: Mapping[str, DataFrame], choice: int) -> DataFrame:
     """Cells by branches of one choice, in percent."""
     own = stats["choices"].where(F.col("choice") == choice)
     return own.groupBy("cell").pivot("label").agg(F.first(F.when(F.col("share").isNotNull(), 100.0 * F.col("share"))))

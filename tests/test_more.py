@@ -272,6 +272,18 @@ def test_sampled_cases(spark):
     assert files.sample_cases(log, 300)[0] is log
 
 
+def test_family_tables_are_made_when_asked_for(spark, monkeypatch):
+    from eventloom.operators import skeleton
+
+    monkeypatch.setattr(skeleton, "family_choices", lambda *a, **k: pytest.fail("no choices were asked for"))
+    rows = [("1", "a", 1, 1), ("1", "b", 2, 2), ("2", "a", 1, 1)]
+    df = spark.createDataFrame(rows, "case string, act string, s int, seq int").withColumn("ts", F.timestamp_seconds("s"))
+    log = EventLog(df.drop("s"), spark.createDataFrame([("1", "x"), ("2", "y")], "case string, kind string"))
+    stats = families.family_stats(log, ["kind"], min_cases=1)
+    assert [tuple(r) for r in families.edge_frame(stats).collect()] == [("a", "b", 1)]
+    assert "choices" in stats and stats["edges"] is stats["edges"]
+
+
 def test_line_statistics_deal_the_lines_once(spark, sf, monkeypatch):
     from eventloom.sources import tables
 
