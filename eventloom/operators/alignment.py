@@ -11,7 +11,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..log import EventLog
@@ -118,6 +118,22 @@ class Runner:
 class Aligner:
     def __init__(self, tree: Tree, states: int = STATES):
         self.run, self.alphabet, self.states = Runner(tree), tree.alphabet(), states
+        self.ids: dict[tuple, int] = {}
+        #: By a term's number: the term, its text, whether it may end, and its steps once they are asked for.
+        self.terms: list[tuple[tuple, str, bool]] = []
+        self.moves: list[list[tuple[str, int]] | None] = []
+
+    def _id(self, term: tuple) -> int:
+        if term not in self.ids:
+            self.ids[term] = len(self.terms)
+            self.terms.append((term, repr(term), self.run.may_end(term)))
+            self.moves.append(None)
+        return self.ids[term]
+
+    def _steps(self, term: int) -> list[tuple[str, int]]:
+        if self.moves[term] is None:
+            self.moves[term] = [(label, self._id(after)) for label, after in self.run.steps(self.terms[term][0])]
+        return self.moves[term]
 
     def align(self, trace: tuple[str, ...]) -> tuple[int, tuple[str, ...]] | None:
         """(cost, path) of a nearest path of the tree, None beyond the budget of states.
@@ -128,8 +144,9 @@ class Aligner:
         alien = [0] * (len(trace) + 1)
         for n in range(len(trace) - 1, -1, -1):
             alien[n] = alien[n + 1] + (trace[n] not in self.alphabet)
-        queue = [(alien[0], 0, (), 0, repr(self.run.start), self.run.start)]
-        best: dict[tuple[int, tuple], int] = {}
+        start, end, push = self._id(self.run.start), len(trace), heapq.heappush
+        queue = [(alien[0], 0, (), 0, self.terms[start][1], start)]
+        best: dict[tuple[int, int], int] = {}
         popped = 0
         while queue:
             _, back, path, cost, _, term = heapq.heappop(queue)
@@ -140,29 +157,35 @@ class Aligner:
             popped += 1
             if popped > self.states:
                 return None
-            if at == len(trace) and self.run.may_end(term):
+            if at == end and self.terms[term][2]:
                 return cost, path
-            moves = [(at + 1, term, path, cost + 1)] if at < len(trace) else []
-            for label, after in self.run.steps(term):
-                if at < len(trace) and label == trace[at]:
-                    moves.append((at + 1, after, (*path, label), cost))
-                moves.append((at, after, (*path, label), cost + 1))
+            moves = [(at + 1, term, path, cost + 1)] if at < end else []
+            for label, after in self._steps(term):
+                way = (*path, label)
+                if at < end and label == trace[at]:
+                    moves.append((at + 1, after, way, cost))
+                moves.append((at, after, way, cost + 1))
             for n, after, way, c in moves:
                 if best.get((n, after), c + 1) > c:
-                    heapq.heappush(queue, (c + alien[n], -n, way, c, repr(after), after))
+                    push(queue, (c + alien[n], -n, way, c, self.terms[after][1], after))
         return None
 
 
 FITTING, REPAIRED, UNEXPLAINED = "fitting", "repaired", "unexplained"
-SCHEMA = "trace array<string>, n long, status string, signature string, path array<string>, cost int, visits map<int,long>"
 
 
-def walked(counts: DataFrame, tree: Tree, repair: bool = True, budget: int = BUDGET, states: int = STATES) -> DataFrame:
-    """Distinct traces (trace, n) with the path of the tree they count along: their own if it fits, else a nearest one.
+def _core(tree: Tree) -> Column:
+    """A trace with a null in place of each run of events outside the tree's alphabet.
 
-    Traces are dealt over several tasks a core, as their costs differ by orders of magnitude. One that runs out
-    of budget is unexplained and has no path.
+    A run as a whole stays, not its length: where it lies tells which of equal paths is taken.
     """
+    known = F.array(*map(F.lit, sorted(tree.alphabet()))).cast("array<string>")
+    marked = F.transform("trace", lambda a: F.when(F.array_contains(known, a), a))
+    return F.filter(marked, lambda a, i: a.isNotNull() | (i == 0) | F.get(marked, i - 1).isNotNull())
+
+
+def _walks(cores: DataFrame, tree: Tree, repair: bool, budget: int, states: int) -> DataFrame:
+    """(core, fits, signature, path, cost, visits) of distinct traces, runs of alien events being nulls."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         replayer, aligner = Replayer(tree, budget), Aligner(tree, states)
@@ -175,31 +198,47 @@ def walked(counts: DataFrame, tree: Tree, repair: bool = True, budget: int = BUD
 
         for frame in frames:
             rows = []
-            for raw, n in zip(frame["trace"], frame["n"], strict=True):
-                trace = tuple(raw)
-                path, cost, got = trace, 0, replay(trace)
-                status = FITTING
-                if got is None and repair:
-                    found = aligner.align(trace)
+            for raw in frame["core"]:
+                core = tuple(raw)
+                path, cost, got = core, 0, replay(core)
+                fits = got is not None
+                if not fits and repair:
+                    found = aligner.align(core)
                     if found:
-                        (cost, path), status = found, REPAIRED
+                        cost, path = found
                         got = replay(path)
-                if got is None:
-                    rows.append((list(trace), n, UNEXPLAINED, None, None, None, {}))
-                else:
-                    rows.append((list(trace), n, status, got[0], list(path), cost, dict(got[1])))
-            yield pd.DataFrame(rows, columns=["trace", "n", "status", "signature", "path", "cost", "visits"]).astype({"cost": "Int32"})
+                rows.append((list(core), fits, *((None, None, None, {}) if got is None else (got[0], list(path), cost, dict(got[1])))))
+            yield pd.DataFrame(rows, columns=["core", "fits", "signature", "path", "cost", "visits"]).astype({"cost": "Int32"})
+
+    tasks = 4 * cores.sparkSession.sparkContext.defaultParallelism
+    return cores.repartition(tasks, "core").mapInPandas(run, "core array<string>, fits boolean, signature string, path array<string>, cost int, visits map<int,long>")
+
 
-    tasks = 4 * counts.sparkSession.sparkContext.defaultParallelism
-    return counts.select("trace", F.col("n").cast("long").alias("n")).repartition(tasks, "trace").mapInPandas(run, SCHEMA)
+def _status() -> Column:
+    return F.when(F.col("fits"), FITTING).when(F.col("signature").isNotNull(), REPAIRED).otherwise(UNEXPLAINED)
+
+
+def walked(counts: DataFrame, tree: Tree, repair: bool = True, budget: int = BUDGET, states: int = STATES) -> DataFrame:
+    """Distinct traces (trace, n) with the path of the tree they count along: their own if it fits, else a nearest one.
+
+    Events outside the tree's alphabet can only be skipped, at a cost of one each: traces alike but for the names and
+    the lengths of runs of such events are walked once. Walks are dealt over several tasks a core, as their costs differ
+    by orders of magnitude. A trace that runs out of budget is unexplained and has no path.
+    """
+    rows = counts.select("trace", F.col("n").cast("long").alias("n"), _core(tree).alias("core"))
+    walks = _walks(rows.select("core").distinct(), tree, repair, budget, states)
+    cost = (F.col("cost") + F.size("trace") - F.size("core")).cast("int").alias("cost")
+    return rows.join(walks, "core").select("trace", "n", _status().alias("status"), "signature", "path", cost, "visits")
 
 
 def traversal_stats(log: EventLog, tree: Tree, repair: bool = True, states: int = STATES) -> tuple[DataFrame, DataFrame]:
     """(node, visits, cases) over counted cases, and one row of totals: cases and sequences by status, coverage, fitting ratio."""
-    w = walked(trace_counts(log)[1], tree, repair, states=states).persist()
+    counts = trace_counts(log)[1].groupBy(_core(tree).alias("core")).agg(F.sum("n").alias("n"), F.count("*").alias("sequences")).persist()
+    walks = _walks(counts.select("core"), tree, repair, BUDGET, states)
+    w = counts.join(walks, "core").withColumn("status", _status()).persist()
     nodes = w.select("n", F.explode("visits").alias("node", "k")).groupBy("node").agg(F.sum(F.col("k") * F.col("n")).alias("visits"), F.sum("n").alias("cases"))
     by = {s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)) for s in (FITTING, REPAIRED, UNEXPLAINED)}
-    totals = w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *(c.alias(s) for s, c in by.items()), F.count("*").alias("sequences"), F.count_distinct("signature").alias("signatures"))
+    totals = w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), *(c.alias(s) for s, c in by.items()), F.coalesce(F.sum("sequences"), F.lit(0)).alias("sequences"), F.count_distinct("signature").alias("signatures"))
     share = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("total")), F.lit(0.0))
     return nodes, totals.withColumn("coverage", share(F.col(FITTING) + F.col(REPAIRED))).withColumn("fitting_ratio", share(F.col(FITTING)))
 

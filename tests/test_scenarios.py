@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -233,3 +234,20 @@ def test_family_choices(spark):
     counts = Counter((r["axis1"], r["n"]) for r in rows.collect())
     assert got["x", "c"] == 1 and counts["y", 1] == 2  # y: b once, skipped once
     assert any(r["n"] is None for r in rows.collect())  # a choice that only one cell has
+
+
+def test_alien_runs_are_walked_once(spark):
+    t = node(S, leaf("a"), node(X, TAU, leaf("b")), leaf("c"))
+    traces = [tuple(x) for n in range(5) for x in itertools.product("abcyz", repeat=n)]
+    counts = spark.createDataFrame([(list(x), i + 1) for i, x in enumerate(traces)], "trace array<string>, n long")
+    plain = alignment.Aligner(t)
+    got = {tuple(r["trace"]): r for r in alignment.walked(counts, t).collect()}
+    for x in traces:
+        assert (got[x]["cost"], tuple(got[x]["path"])) == plain.align(x)
+        assert (got[x]["status"] == "fitting") == (plain.align(x)[0] == 0)
+    seen = alignment._walks(counts.select(alignment._core(t).alias("core")).distinct(), t, True, 1000, 1000).count()
+    assert seen < len(traces) / 2
+    ties = node(X, leaf("b"), leaf("b"), node(P, leaf("c"), node(S, leaf("b"), leaf("a"))))  # where equal paths are told by the place of a run
+    odd = tuple("byyayay")
+    (row,) = alignment.walked(spark.createDataFrame([(list(odd), 1)], "trace array<string>, n long"), ties).collect()
+    assert (row["cost"], tuple(row["path"])) == alignment.Aligner(ties).align(odd)
