@@ -50,7 +50,22 @@ def graphs(log: EventLog, cells: DataFrame | None = None, noise: float = 0.0) ->
     """The graph of each cell, () if there are none. Edges rarer than noise times their source's commonest are left out."""
     axes = [c for c in cells.columns if c.startswith("axis")] if cells is not None else []
     seen = log.df.join(cells.select("case", *axes), "case") if axes else log.df
-    rows = edges(log, cells).limit(MAX_EDGES + 1).collect()
+    return _graphs(edges(log, cells), seen.groupBy(*axes, "act").agg(F.count_distinct("case").alias("n")), axes, noise)
+
+
+def trace_graphs(traces: DataFrame, noise: float = 0.0) -> dict[tuple, Graph]:
+    """The graphs of cells from their distinct traces (axes, trace, n)."""
+    axes = [c for c in traces.columns if c.startswith("axis")]
+    step = lambda a, i: F.struct(a.alias("a"), F.get("trace", i + 1).alias("b"))
+    first = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.get("trace", F.lit(0)).alias("b")))
+    pairs = traces.select(*axes, "n", F.explode(F.concat(first, F.transform("trace", step))).alias("p"))
+    rows = pairs.groupBy(*axes, "p.a", "p.b").agg(F.sum("n").alias("n"))
+    cover = traces.select(*axes, "n", F.explode(F.array_distinct("trace")).alias("act")).groupBy(*axes, "act").agg(F.sum("n").alias("n"))
+    return _graphs(rows, cover, axes, noise)
+
+
+def _graphs(steps: DataFrame, cover: DataFrame, axes: list[str], noise: float) -> dict[tuple, Graph]:
+    rows = steps.limit(MAX_EDGES + 1).collect()
     if len(rows) > MAX_EDGES:
         raise LogError(f"more than {MAX_EDGES} successions: merge or drop activities first")
     out: dict[tuple, Graph] = {}
@@ -62,7 +77,7 @@ def graphs(log: EventLog, cells: DataFrame | None = None, noise: float = 0.0) ->
             g.ends[r["a"]] += r["n"]
         else:
             g.follows[r["a"], r["b"]] += r["n"]
-    for r in seen.groupBy(*axes, "act").agg(F.count_distinct("case").alias("n")).collect():  # fewer rows than edges
+    for r in cover.collect():  # fewer rows than edges
         out[tuple(r[x] for x in axes)].cover[r["act"]] = r["n"]
     for g in out.values():
         g.acts = sorted({*g.starts, *g.ends, *(a for pair in g.follows for a in pair)})

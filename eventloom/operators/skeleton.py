@@ -180,18 +180,18 @@ def choices(skeleton: Part) -> list[dict]:
 def family_choices(log: EventLog, cells: DataFrame, noise: float = 0.0) -> tuple[DataFrame, Part]:
     """(axes, choice, name, branch, label, n, share) and the skeleton; n is null where a cell never comes to the choice.
 
-    Each cell's tree comes from its directly-follows graph, all graphs from one aggregation. The replay runs once over
-    the distinct traces of the cells; traces that do not fit are not counted.
+    The log is read once, for the distinct traces of the cells: each cell's tree comes from its directly-follows graph,
+    counted over them, and the replay runs over them. Traces that do not fit are not counted.
     """
     axes = [c for c in cells.columns if c.startswith("axis")]
     spark = log.df.sparkSession
-    found = dfg.graphs(log, cells, noise)
+    traces = log.traces().join(cells.select("case", *axes), "case").groupBy(*axes, "trace").agg(F.count("*").alias("n")).persist()
+    found = dfg.trace_graphs(traces, noise)
     names = list(found)
     skeleton = merge([((i,), dfg.mine(g)) for i, g in enumerate(found.values())]) if names else Part(None)
     setup = [configured(skeleton, i) for i in range(len(names))]
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     key = spark.createDataFrame([(*k, i) for i, k in enumerate(names)], ", ".join([f"`{a}` {kinds[a]}" for a in axes] + ["cell int"]))
-    traces = log.traces().join(cells.select("case", *axes), "case").groupBy(*axes, "trace").agg(F.count("*").alias("n"))
     rows = traces.join(key, axes)  # a row per cell: broadcast if small
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,6 +22,8 @@ from .variants import trace_counts
 SEQ, XOR, AND, LOOP = "->", "X", "+", "*"
 NOFIT = "NOFIT"
 BUDGET = 200_000
+#: Parses of parts of traces that a replayer keeps.
+KEPT = 100_000
 
 
 @dataclass(frozen=True)
@@ -96,6 +98,7 @@ class Replayer:
 
         go(tree)
         self.alpha = {i: t.alphabet() for i, t in self.nodes.items()}
+        self.dealt: dict[tuple[int, tuple[str, ...]], tuple[int, tuple[Signature, Counter] | None]] = {}
 
     def replay(self, trace: tuple[str, ...]) -> tuple[str, Counter] | None:
         """(signature as JSON text, visits by node) or None. Raises OutOfBudget."""
@@ -163,6 +166,22 @@ class Replayer:
         memo[key] = out = dict(sorted(out.items(), reverse=True))
         return out
 
+    def _whole(self, i: int, part: tuple[str, ...]) -> tuple[Signature, Counter] | None:
+        """The parse of node i over the whole of a part dealt to it; parts recur, so it is kept with what it cost."""
+        key = (i, part)
+        if key not in self.dealt:
+            before = self.left
+            got = self._ends(i, part, 0, {}).get(len(part))
+            if len(self.dealt) >= KEPT:
+                self.dealt.clear()
+            self.dealt[key] = (before - self.left, got)
+            return got
+        cost, got = self.dealt[key]
+        self.left -= cost
+        if self.left < 0:
+            raise OutOfBudget
+        return got
+
     def _parallel(self, kids: list[int], part: tuple[str, ...]) -> list[tuple[Signature, Counter]] | None:
         if not kids:
             return [] if not part else None
@@ -184,7 +203,7 @@ class Replayer:
                 raise OutOfBudget
             splits = dealt
         for mine, other in splits:
-            got = self._ends(first, mine, 0, {}).get(len(mine))
+            got = self._whole(first, mine)
             if got:
                 tail = self._parallel(rest, other)
                 if tail is not None:

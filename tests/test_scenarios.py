@@ -251,3 +251,22 @@ def test_alien_runs_are_walked_once(spark):
     odd = tuple("byyayay")
     (row,) = alignment.walked(spark.createDataFrame([(list(odd), 1)], "trace array<string>, n long"), ties).collect()
     assert (row["cost"], tuple(row["path"])) == alignment.Aligner(ties).align(odd)
+
+
+def test_family_choices_read_the_log_once(spark, monkeypatch):
+    cases = {"1": "abd", "2": "acd", "3": "abbd", "4": "ad", "5": "abd", "6": "dcba"}
+    cells = spark.createDataFrame([(c, "xy"[int(c) % 2]) for c in cases], "case string, axis1 string")
+    log = log_of(spark, cases)
+    traces = log.traces().join(cells, "case").groupBy("axis1", "trace").agg(F.count("*").alias("n"))
+    assert dfg.trace_graphs(traces) == dfg.graphs(log, cells)
+    monkeypatch.setattr(EventLog, "events", lambda self: pytest.fail("the log is windowed again"))
+    assert skeleton.family_choices(log, cells)[0].count()
+
+
+def test_kept_parses_cost_what_they_did():
+    t = node(P, *(node(X, TAU, node(L, leaf(a), TAU)) for a in "abc"))
+    kept = tree.Replayer(t)
+    for x in itertools.product("abc", repeat=5):
+        new = tree.Replayer(t)
+        assert kept.replay(x) == new.replay(x) and kept.left == new.left
+    assert len(kept.dealt) < 40
